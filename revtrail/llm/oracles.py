@@ -40,4 +40,43 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op5_topk": OP5}
+_RULES = """(VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS r(kind, rh, rp)"""
+
+OP8 = rf"""
+WITH RECURSIVE
+tags AS (
+  SELECT url AS source, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), attrs AS (
+  SELECT source, tag, lower(regexp_extract(tag, '(?is)\srel\s*=\s*["'']?([^"''>]*)', 1)) AS rel, regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''>]*)', 1) AS href,
+         lower(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*["'']?([^"''>]*)', 1)) AS equiv, regexp_extract(tag, '(?is)\scontent\s*=\s*["'']?[^;,"'']*[;,]\s*url\s*=\s*[''"]?([^''"]*)', 1) AS refresh
+  FROM tags
+), links AS (
+  SELECT source, replace(trim(CASE WHEN tag ILIKE '<link%' AND contains(' ' || rel || ' ', ' canonical ') THEN href WHEN tag ILIKE '<meta%' AND trim(equiv) = 'refresh' THEN refresh END), '&amp;', '&') AS link
+  FROM attrs
+), targets AS (
+  SELECT source, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN split_part(source, '://', 1) || ':' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(source, '^(.*?://[^/?#]*)', 1) || link
+    ELSE regexp_extract(source, '^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(source, '://[^/?#]*(/?(?:[^?#]*/)?)', 1), ''), '/') || link END AS target
+  FROM links WHERE link <> ''
+), all_urls AS (SELECT source AS u FROM targets UNION SELECT target FROM targets UNION SELECT url FROM pages),
+parts AS (
+  SELECT u, CASE WHEN instr(u, '://') > 0 THEN translate(regexp_extract(substr(u, instr(u, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN instr(u, '://') > 0 THEN regexp_extract(substr(u, instr(u, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM all_urls
+), ruled AS (
+  SELECT p.u, p.host, p.path, rh || rp AS rule, kind, row_number() OVER (PARTITION BY p.u ORDER BY length(rh || rp) DESC NULLS LAST, kind) AS k,
+         CASE WHEN p.host <> '' THEN lower(split_part(p.u, '://', 1)) || '://' || p.host || CASE WHEN p.path = '' THEN '/' ELSE p.path END || regexp_extract(p.u, '^[^?#]*([?][^#]*)', 1) END AS key
+  FROM parts p LEFT JOIN {_RULES} ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp)
+), urls AS (SELECT * FROM ruled WHERE k = 1),
+edges AS (
+  SELECT a.key AS x, b.key AS y FROM targets JOIN urls a ON a.u = source JOIN urls b ON b.u = target WHERE a.key <> b.key
+), both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+reach(x, y) AS (SELECT DISTINCT x, x FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+spread AS (SELECT r.x AS key, min(u.kind) AS spread FROM reach r JOIN urls u ON u.key = r.y GROUP BY r.x)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(kind, spread, 'allow') AS verdict
+FROM pages LEFT JOIN urls ON urls.u = pages.url LEFT JOIN spread USING (key)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op5_topk": OP5, "op8_url_filter": OP8}
