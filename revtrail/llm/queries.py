@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc32_mod
+    from .quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return score_quality(docs.select("doc_id", held, "text"), model, keep=["doc_id", "held_out"])
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_contamination
 
@@ -17,6 +27,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,4 +63,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op4_packing, op5_topk, op8_url_filter, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_language, op4_packing, op5_topk, op8_url_filter, op10_simhash)}
