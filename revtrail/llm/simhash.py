@@ -213,3 +213,124 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
     by_print = least.join(ids, "group").select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# ---- near-duplicates by a similarity threshold ------------------------------------------------------------
+#
+# At a similarity of 0.8 unrelated and similar texts differ in too many bits for Hamming vantage points: with
+# 128 bits a similar pair differs in up to 32 or so, and the distances of unrelated texts to any vantage spread
+# by only 5.7 around 64, so the boundary band is everything.  The vantage point that does prune is the empty
+# text: the distance to it is the number of shingles, and sets with a Jaccard similarity of s or more have sizes
+# within a factor 1/s.  Sizes are cut into bands of that factor; a text visits the band below its own.
+
+_SKETCH = 128
+
+
+def _profile(text: str, k: int) -> tuple[int, int, int, bytes]:
+    """Distinct shingles, two 64-bit fingerprints of them, and the smallest hashes (whole set if few)."""
+    h = np.unique(shingle_hashes(text, k))
+    if not len(h):
+        return 0, 0, 0, b""
+    other = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    other ^= other >> np.uint64(32)
+    return len(h), *(int(np.uint64(fingerprint(x)).view(np.int64)) for x in (h, other)), h[:_SKETCH].astype("<u8").tobytes()
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two bottom-k sketches: exact if both hold whole sets."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    if len(a) < _SKETCH and len(b) < _SKETCH:
+        return len(both) / max(1, len(a) + len(b) - len(both))
+    union = np.union1d(a, b)[:_SKETCH]
+    return np.count_nonzero(both <= union[-1]) / len(union)
+
+
+def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs between positions left and right (a pair needs one end in left)."""
+    parent = np.arange(len(n))
+    out: list[tuple[int, int]] = []
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        now = parent[at]
+        while (parent[now] != now).any():
+            now = parent[now]
+        parent[at] = now
+        return now
+
+    order = right[np.argsort(n[right], kind="stable")]
+    sizes, values = n[order], fp[order]
+    left = left[np.argsort(n[left], kind="stable")]
+    for at in range(0, len(left), 128):
+        rows = left[at : at + 128]
+        lo, hi = np.searchsorted(sizes, int(n[rows[0]] * similarity), "left"), np.searchsorted(sizes, int(n[rows[-1]] / similarity) + 1, "right")
+        apart = np.bitwise_count(fp[rows, None, 0] ^ values[None, lo:hi, 0]) + np.bitwise_count(fp[rows, None, 1] ^ values[None, lo:hi, 1])
+        for i, found in zip(rows, apart <= bits, strict=True):
+            for j, root in zip(near := order[lo + np.flatnonzero(found)], roots(near), strict=True):
+                if roots(np.array([i]))[0] == roots(np.array([root]))[0]:
+                    continue
+                if min(n[i], n[j]) >= similarity * max(n[i], n[j]) and _similarity(sketch[i], sketch[j]) >= similarity:
+                    parent[roots(np.array([j]))[0]] = roots(np.array([i]))[0]
+                    out.append((int(i), int(j)))
+    return out
+
+
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 34, block: int = 16384) -> DataFrame:
+    """(text_key, keeper): per distinct text (MD5; null reads as empty) the smallest id of its group, where
+    texts chain by a Jaccard similarity of their word shingles of at least ``similarity``.
+
+    Candidates are pairs of fitting size whose 128-bit fingerprints differ in at most ``bits`` bits; they are
+    confirmed by bottom-128 sketches, which are whole for texts of fewer distinct shingles and otherwise
+    estimate the similarity to +-0.035 at 0.8.  Wordless texts are one group.  Ids that are null never keep.
+    """
+    key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+
+    def profiled(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            rows = []
+            for ident, text_key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows.append((ident, text_key, *(_profile(text or "", shingle) if text_key not in seen else (None,) * 4)))
+                seen.add(text_key)
+            kinds = (batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "key", "n", "f1", "f2", "sketch"])
+
+    each = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").alias("text")).mapInArrow(profiled, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, f1 long, f2 long, sketch binary")
+    texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "f1", "f2", "sketch")).alias("p")).select("key", "least", "p.*").withColumn("band", F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity)) + 1e-9)).otherwise(-9).cast("int")))
+    counts = {r[0]: r[1] for r in texts.groupBy("band").count().collect()}
+    spark = docs.sparkSession
+    blocks = spark.createDataFrame([(b, blocks_for(n + counts.get(b + 1, 0), block)) for b, n in counts.items()] or [(-9, 1)], "band int, blocks int")
+    slim = texts.select("key", "n", "f1", "f2", "sketch", "band")
+    # A home text meets every block of its band and of the visitors: rows (band, block of left, block of right).
+    placed = slim.withColumn("home", F.lit(True)).unionByName(slim.where("band > -9").withColumn("band", F.col("band") - 1).withColumn("home", F.lit(False))).join(F.broadcast(blocks), "band").withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "n", "f1", "f2", "sketch", "band", "home", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+
+    def linked(t: pa.Table) -> pa.Table:
+        keys, home, at = (t.column(c).to_numpy() for c in ("key", "home", "at"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        n = t.column("n").to_numpy()
+        if n.max(initial=0) == 0:
+            edges = [(0, x) for x in range(1, len(n))]
+        else:
+            fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
+            sketch = [np.frombuffer(x, "<u8") for x in t.column("sketch").to_pylist()]
+            edges = link_similar(n, fp, sketch, np.flatnonzero(home & (at == i)), np.flatnonzero(at == j), similarity, bits)
+            if i != j:
+                edges += link_similar(n, fp, sketch, np.flatnonzero(home & (at == j)), np.flatnonzero(at == i), similarity, bits)
+        return pa.table({"a": pa.array([keys[x] for x, _ in edges], pa.string()), "b": pa.array([keys[y] for _, y in edges], pa.string())})
+
+    groups = components(pairs.groupBy("band", "i", "j").applyInArrow(linked, "a string, b string"))
+    named = texts.select("key", "least").join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("group"))
+    keepers = named.groupBy("group").agg(F.min("least").alias("keeper"))
+    return named.join(keepers, "group").select(F.col("key").alias("text_key"), "keeper")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id.  Of repeated rows with that id and
+    text any one stays; rows whose group has no id all stay."""
+    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+    keepers = groups.where(F.col("keeper").isNotNull()).select("keeper", F.col("text_key").alias("keeper_key"))
+    anonymous = groups.where(F.col("keeper").isNull()).select(F.col("text_key").alias("keeper_key"))
+    marked = docs.withColumn("_key", key)
+    kept = marked.join(keepers, (F.col("_key") == F.col("keeper_key")) & (F.col(f"`{id_col}`") == F.col("keeper"))).dropDuplicates([id_col, "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(marked.where(F.col(f"`{id_col}`").isNull()).join(anonymous, F.col("_key") == F.col("keeper_key"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
