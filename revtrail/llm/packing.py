@@ -106,8 +106,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 class _Search:
     """Bins with room, and which of them hold an item of a given length."""
 
-    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
-        self.n, self.capacity, self.bins = lengths.tolist(), capacity, bins
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int, effort: int):
+        self.n, self.capacity, self.bins, self.effort = lengths.tolist(), capacity, bins, effort
         self.fill = [sum(self.n[i] for i in b) for b in bins]
         self.holds: dict[int, set[int]] = defaultdict(set)
         self.roomy: dict[int, set[int]] = defaultdict(set)
@@ -136,6 +136,7 @@ class _Search:
 
     def _raises(self, v: int, b: int, gain: int) -> bool:
         """Squared fill grows when ``gain`` goes from v to b."""
+        self.effort -= 1
         return 0 < gain <= self.capacity - self.fill[b] and b != v and self.fill[b] + gain > self.fill[v]
 
     def _partner(self, v: int, size: int) -> tuple[int, list[int]] | None:
@@ -145,12 +146,12 @@ class _Search:
                 if self._raises(v, b, size):
                     return b, []
         most = max((r for r, x in self.roomy.items() if x), default=0)
-        for give in range(max(1, size - most), size):
+        for give in range(max(1, size - most), size if self.effort > 0 else 0):
             for b in self.holds.get(give, ()):
                 if self._raises(v, b, size - give):
                     return b, [next(i for i in self.bins[b] if self.n[i] == give)]
         for room in sorted((r for r, x in self.roomy.items() if x), reverse=True):
-            for b in self.roomy[room]:
+            for b in self.roomy[room] if self.effort > 0 else ():
                 items = self.bins[b]
                 for x, i in enumerate(items):
                     for j in items[x + 1 :]:
@@ -161,6 +162,8 @@ class _Search:
     def step(self, v: int) -> bool:
         items = sorted(self.bins[v], key=lambda i: -self.n[i])
         for out in [[i] for i in items] + [[i, j] for x, i in enumerate(items) for j in items[x + 1 :]]:
+            if self.effort <= 0:
+                return False
             if found := self._partner(v, sum(self.n[i] for i in out)):
                 self.exchange(v, out, *found)
                 return True
@@ -181,12 +184,13 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int((apart + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
-def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of item positions; every item (1..capacity long) is in exactly one."""
+def pack(lengths: np.ndarray, capacity: int, effort: int = 1000) -> list[list[int]]:
+    """Bins of item positions; every item (1..capacity long) is in exactly one.  The search weighs at most about
+    ``effort`` exchanges a bin: it bounds time spent on a last bin, never what is packed."""
     bins = best_fit(lengths, capacity)
     least = least_bins(lengths, capacity)
-    search, live, stuck = _Search(lengths, bins, capacity), len(bins), set()
-    while live > least:
+    search, live, stuck = _Search(lengths, bins, capacity, effort * len(bins)), len(bins), set()
+    while live > least and search.effort > 0:
         under = [b for rooms in search.roomy.values() for b in rooms if b not in stuck and search.bins[b]]
         if not under:
             break
