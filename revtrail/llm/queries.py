@@ -69,10 +69,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the directories of a path are the document's source and language."""
+    from .license_scan import scan_licenses
+
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return scan_licenses(files, keep=["doc_id", "path"])
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_language, op4_packing, op5_topk, op6_suffix_dedup, op7_html, op8_url_filter, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_language, op4_packing, op5_topk, op6_suffix_dedup, op7_html, op8_url_filter, op9_license, op10_simhash)}
