@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import blocks_for, free_name
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class WordEncoder:
