@@ -5,6 +5,334 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revtrail.functions import formatting as fmt
+from revtrail.functions import text as X
+from revtrail.operators import classify, diff, extract, policy, state
+from revtrail.plans import crawl, derived, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_D = derived.CTE["duckdb"]
+
+
+def query(oracle: str | None = None, derive: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = f"{_D} {oracle}" if derive else oracle
+        return f
+
+    return add
+
+
+def _base(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").isNotNull()).select("doc_id", "text")
+
+
+def _revisions(spark: SparkSession, d: str) -> DataFrame:
+    return derived.relation(spark, d, "revisions")
+
+
+# ---- scalar functions over texts -------------------------------------------------------------------------
+
+_WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_TRIM = rf"regexp_replace(%s, '^{_WS}+|{_WS}+$', '', 'g')"
+_B = "(^|[^A-Za-z0-9_])"
+
+
+def _sql_words(c: str) -> str:
+    t = _TRIM % c
+    return f"CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split_regex({t}, '{_WS}+') END"
+
+
+def _sql_punctuation(c: str) -> str:
+    fold = X.SINGLE_QUOTES + X.DOUBLE_QUOTES + X.DASHES + X.BULLETS + X.SPACES
+    to = "''" * len(X.SINGLE_QUOTES) + '"' * len(X.DOUBLE_QUOTES) + "-" * len(X.DASHES) + "*" * len(X.BULLETS) + " " * len(X.SPACES)
+    c = f"replace(translate({c}, '{fold}{X.INVISIBLE}', '{to}'), '…', '...')"
+    c = rf"regexp_replace({c}, '{_WS}+([,;:.])', '\1', 'g')"
+    return _TRIM % f"regexp_replace({c}, '{_WS}+', ' ', 'g')"
+
+
+_NEG = "CASE regexp_replace(lower(x), '[^a-z]', '', 'g') " + " ".join(f"WHEN '{w}' THEN '{k}'" for k, ws in X.NEGATIONS.items() for w in ws.split()) + " END"
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL", derive=False)
+def content_hash(spark, d):
+    return _base(spark, d).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT doc_id, CAST(len({_sql_words('text')}) AS INTEGER) AS n_words FROM documents WHERE text IS NOT NULL", derive=False)
+def word_count(spark, d):
+    return _base(spark, d).select("doc_id", X.count_words(F.col("text")).alias("n_words"))
+
+
+@query(f"SELECT document_id, rev, sha256({_sql_punctuation('extracted_text')}) AS normal_hash FROM revisions")
+def punct_normalize(spark, d):
+    return _revisions(spark, d).select("document_id", "rev", X.content_hash(X.punctuation_normalize(F.col("extracted_text"))).alias("normal_hash"))
+
+
+_DATED = "extracted_text"
+for _pattern in X.DATE_PATTERNS:
+    _DATED = f"regexp_replace({_DATED}, '{_pattern.replace(X.START, chr(92) + 'b').replace(X.END, chr(92) + 'b').replace(X.WS, _WS)}', '@date', 'g')"
+
+
+@query(f"SELECT document_id, rev, sha256({_DATED}) AS dated_hash FROM revisions")
+def date_normalize(spark, d):
+    return _revisions(spark, d).select("document_id", "rev", X.content_hash(X.date_normalize(F.col("extracted_text"))).alias("dated_hash"))
+
+
+@query(f"SELECT document_id, rev, array_to_string(list_sort(list_filter(list_transform({_sql_words('extracted_text')}, lambda x: {_NEG}), lambda y: y IS NOT NULL)), ',') AS negations FROM revisions")
+def negation_counts(spark, d):
+    return _revisions(spark, d).select("document_id", "rev", F.array_join(X.negations(F.col("extracted_text")), ",").alias("negations"))
+
+
+_SCORES = ", ".join(f"CAST({' + '.join('CAST(regexp_matches(text, %r) AS INTEGER)' % ('(?i)' + (_B if p.startswith(chr(92) + 'b') else '') + p.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b') + ('([^A-Za-z0-9_]|$)' if p.endswith(chr(92) + 'b') else '')) for p in patterns)} AS INTEGER) AS \"{tag}\"" for tag, _, patterns in classify.TAG_RULES).replace("\\\\", "\\")
+
+
+@query(f"SELECT document_id, rev, {_SCORES} FROM (SELECT document_id, rev, extracted_text AS text FROM revisions)")
+def tag_scores(spark, d):
+    scored = _revisions(spark, d).withColumn("s", classify.tag_scores(F.col("extracted_text")))
+    score = lambda tag: F.coalesce(F.get(F.filter("s", lambda t: t["tag"] == tag), F.lit(0))["score"], F.lit(0)).alias(tag)
+    return scored.select("document_id", "rev", *[score(tag) for tag, _, _ in classify.TAG_RULES])
+
+
+@query("SELECT document_id, rev, array_to_string(regexp_extract_all(extracted_text, '[0-9][0-9,.]*[ \\n]*(days?|weeks?|months?|years?|percent|usd|eur|gbp)\\b'), '|') AS quantities FROM revisions")
+def quantities(spark, d):
+    return _revisions(spark, d).select("document_id", "rev", F.array_join(classify.quantities(F.col("extracted_text")), "|").alias("quantities"))
+
+
+@query("SELECT doc_id, CASE WHEN r = 0 THEN '0%' WHEN r < 0.001 THEN '<0.1%' WHEN r < 0.01 THEN concat(CAST(CAST(round(r * 100, 1) AS DECIMAL(9, 1)) AS VARCHAR), '%') ELSE concat(CAST(CAST(floor(r * 100 + 0.5) AS BIGINT) AS VARCHAR), '%') END AS percent, concat(CAST(doc_id % 3 AS VARCHAR), CASE WHEN doc_id % 3 = 1 THEN ' change' ELSE ' changes' END) AS counted, upper(substr(source, 1, 1)) AS monogram, CASE doc_id % 7 WHEN 1 THEN 'Editorial' WHEN 2 THEN 'Minor' WHEN 3 THEN 'Notable' WHEN 4 THEN 'Significant' WHEN 5 THEN 'Major' ELSE 'Unrated' END AS label FROM (SELECT doc_id, source, CAST(doc_id % 4000 AS DOUBLE) / 8192 / (1 + 31 * (doc_id % 2)) AS r FROM documents)", derive=False)
+def format_values(spark, d):
+    r = (F.col("doc_id") % 4000).cast("double") / 8192 / (1 + 31 * (F.col("doc_id") % 2))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", fmt.format_percent(r).alias("percent"), fmt.pluralize(F.col("doc_id") % 3, "change").alias("counted"), fmt.monogram(F.col("source")).alias("monogram"), fmt.severity_label(F.col("doc_id") % 7).alias("label"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%-d %b %Y') AS day, concat(strftime(o_orderdate, '%-d %b %Y, %H:%M'), ' UTC') AS moment FROM orders", derive=False)
+def format_dates(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", fmt.format_date(F.col("o_orderdate")).alias("day"), fmt.format_date_time(F.col("o_orderdate")).alias("moment"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('user', CAST(user_id AS VARCHAR), '@example.com') END AS email FROM events", derive=False)
+def email_validation(spark, d):
+    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("user"), F.col("user_id"), F.lit("@@example"))).otherwise(F.concat(F.lit("  User"), F.col("user_id"), F.lit("@Example.COM ")))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fmt.clean_email(raw).alias("email"))
+
+
+# ---- revision state --------------------------------------------------------------------------------------
+
+_STATUS = "SELECT document_id, rev, CASE WHEN before IS NULL THEN 'baseline' WHEN before = h THEN 'unchanged' ELSE 'changed' END AS status FROM (SELECT document_id, rev, h, lag(h) OVER (PARTITION BY document_id ORDER BY fetched_at) AS before FROM (SELECT document_id, rev, fetched_at, sha256(extracted_text) AS h FROM revisions))"
+
+
+@query(f"SELECT company_id, status, count(*) AS versions FROM ({_STATUS}) s JOIN docs ON docs.id = s.document_id GROUP BY ALL")
+def change_status(spark, d):
+    narrow = _revisions(spark, d).select("document_id", "fetched_at", X.content_hash(F.col("extracted_text")).alias("content_hash"))
+    docs = derived.relation(spark, d, "docs").select(F.col("id").alias("document_id"), "company_id")
+    return state.revision_status(narrow).join(docs, "document_id").groupBy("company_id", "status").agg(F.count(F.lit(1)).alias("versions"))
+
+
+@query("SELECT document_id, arg_max(concat(document_id, ':', rev), fetched_at) AS snapshot_id, arg_max(sha256(extracted_text), fetched_at) AS content_hash, max(fetched_at) AS fetched_at FROM revisions GROUP BY document_id")
+def latest_snapshot(spark, d):
+    return views.documents_with_latest(derived.tables(spark, d))
+
+
+@query("SELECT docs.id, type, source_url, docs.last_checked_at, companies.id AS company_id, slug AS company_slug, name AS company_name FROM docs JOIN companies ON company_id = companies.id ORDER BY docs.last_checked_at NULLS FIRST, docs.id LIMIT 10")
+def due_batch(spark, d):
+    return views.due_batch(derived.tables(spark, d))
+
+
+# ---- read queries ----------------------------------------------------------------------------------------
+
+_FEED = "c.id, coalesce(c.headline, 'Change detected') AS headline, coalesce(c.summary, '') AS summary, coalesce(c.user_impact, '') AS user_impact, coalesce(c.severity, 3) AS severity, array_to_string(c.tags, ',') AS tags, c.confidence, c.detected_at, d.type AS document_type, o.slug AS company_slug, o.name AS company_name, o.logo_url"
+_CDO = "changes c JOIN docs d ON c.document_id = d.id JOIN companies o ON d.company_id = o.id"
+_NEWEST = "ORDER BY c.detected_at DESC, c.id DESC"
+
+
+@query(f"SELECT {_FEED} FROM {_CDO} WHERE c.published {_NEWEST} LIMIT 50")
+def feed(spark, d):
+    return views.feed(derived.tables(spark, d))
+
+
+@query("SELECT o.*, CAST(count(c.id) FILTER (WHERE c.published) AS INTEGER) AS published_changes FROM companies o LEFT JOIN docs d ON d.company_id = o.id LEFT JOIN changes c ON c.document_id = d.id GROUP BY ALL")
+def companies_rollup(spark, d):
+    return views.companies_rollup(derived.tables(spark, d))
+
+
+@query("SELECT slug FROM companies")
+def company_slugs(spark, d):
+    return views.company_slugs(derived.tables(spark, d))
+
+
+@query(f"SELECT {_FEED}, 'published' AS section FROM {_CDO} WHERE c.published AND o.slug = '{derived.COMPANY}' UNION ALL (SELECT {_FEED}, 'cosmetic' FROM {_CDO} WHERE c.cosmetic AND o.slug = '{derived.COMPANY}' {_NEWEST} LIMIT 20)")
+def timeline(spark, d):
+    return views.timeline(derived.tables(spark, d), derived.COMPANY)
+
+
+@query(f"SELECT CAST(count(*) AS INTEGER) AS published_changes FROM {_CDO} WHERE c.published AND o.slug = '{derived.COMPANY}'")
+def timeline_count(spark, d):
+    return views.published_count(derived.tables(spark, d), derived.COMPANY)
+
+
+_SNAPS = "(SELECT concat(document_id, ':', rev) AS id, fetched_at, sha256(extracted_text) AS content_hash FROM revisions)"
+
+
+@query(f"SELECT {_FEED}, d.source_url, c.cosmetic, c.needs_review, c.published, c.change_ratio, a.fetched_at AS from_fetched_at, b.fetched_at AS to_fetched_at, a.content_hash AS from_hash, b.content_hash AS to_hash FROM {_CDO} JOIN {_SNAPS} a ON a.id = from_snapshot_id JOIN {_SNAPS} b ON b.id = to_snapshot_id WHERE c.id = '{derived.CHANGE}'")
+def change_detail(spark, d):
+    return views.change_detail(derived.tables(spark, d), derived.CHANGE)
+
+
+@query("SELECT id FROM changes WHERE published ORDER BY detected_at DESC, id DESC LIMIT 200")
+def change_ids(spark, d):
+    return views.change_ids(derived.tables(spark, d))
+
+
+@query(f"SELECT c.id, d.type AS document_type, CASE WHEN c.cosmetic THEN 'cosmetic' WHEN c.published THEN 'published' ELSE 'held for review' END AS state, c.severity, CASE c.severity WHEN 1 THEN 'Editorial' WHEN 2 THEN 'Minor' WHEN 3 THEN 'Notable' WHEN 4 THEN 'Significant' WHEN 5 THEN 'Major' ELSE 'Unrated' END AS severity_label, c.detected_at FROM {_CDO} WHERE o.slug = '{derived.COMPANY}'")
+def inspect_company(spark, d):
+    return views.inspect(derived.tables(spark, d), derived.COMPANY)
+
+
+_SUBS = "(SELECT sha256(concat(company_id, '|', email)) AS id, company_id, email, arg_min(token, happened) FILTER (WHERE action = 'subscribe') AS unsubscribe_token, min(happened) FILTER (WHERE action = 'subscribe') AS created_at, CASE WHEN max(happened) FILTER (WHERE action <> 'subscribe') > max(happened) FILTER (WHERE action = 'subscribe') THEN max(happened) FILTER (WHERE action <> 'subscribe') END AS unsubscribed_at FROM sub_events GROUP BY company_id, email HAVING created_at IS NOT NULL)"
+
+
+@query(f"SELECT s.id, s.email, o.slug AS company_slug, CASE WHEN s.unsubscribed_at IS NULL THEN 'active' ELSE 'unsubscribed' END AS state, s.created_at FROM {_SUBS} s JOIN companies o ON s.company_id = o.id")
+def subscriptions(spark, d):
+    return views.subscriptions(derived.tables(spark, d))
+
+
+@query(f"SELECT * FROM {_SUBS}")
+def subscription_fold(spark, d):
+    return state.subscriptions_from(derived.relation(spark, d, "sub_events"))
+
+
+@query(f"SELECT s.id, CASE WHEN s.created_at % 3 = 0 THEN 9000000 + s.created_at ELSE s.unsubscribed_at END AS unsubscribed_at FROM {_SUBS} s")
+def unsubscribe_by_token(spark, d):
+    subs = state.subscriptions_from(derived.relation(spark, d, "sub_events"))
+    requests = subs.where("created_at % 3 = 0").select(F.col("unsubscribe_token").alias("token"), (F.col("created_at") + 9000000).alias("at"))
+    return state.unsubscribe(subs, requests).select("id", "unsubscribed_at")
+
+
+@query(f"SELECT c.id AS change_id, s.email, s.unsubscribe_token, o.name AS company_name, d.type AS document_type, replace(replace(replace(coalesce(c.headline, 'A change was detected'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS headline, coalesce(c.summary, '') AS summary FROM {_CDO} JOIN {_SUBS} s ON s.company_id = d.company_id WHERE c.published AND c.notified_at IS NULL AND s.unsubscribed_at IS NULL AND c.detected_at % 17 <> 0 AND c.detected_at % 50 = 3")
+def recipients(spark, d):
+    t = derived.tables(spark, d)
+    t.changes = t.changes.where("detected_at % 50 = 3")
+    ledger = t.changes.where("detected_at % 17 = 0").select(F.col("id").alias("change_id"))
+    return views.recipients(t, ledger)
+
+
+@query("SELECT id, published OR (NOT cosmetic AND detected_at % 5 = 0) AS published, needs_review AND NOT (NOT cosmetic AND detected_at % 5 = 0) AS needs_review FROM changes")
+def publish_by_hand(spark, d):
+    changes = derived.relation(spark, d, "changes")
+    return state.publish(changes, changes.where("detected_at % 5 = 0").select("id")).select("id", "published", "needs_review")
+
+
+@query("SELECT id, slug, CASE WHEN length(slug) = 4 THEN concat(name, ' Ltd') ELSE name END AS name, last_checked_at FROM companies UNION ALL SELECT 'new', 'new', 'New', NULL")
+def upsert_companies(spark, d):
+    companies = derived.relation(spark, d, "companies").select("id", "slug", "name", "last_checked_at")
+    incoming = companies.where("length(slug) = 4").select(F.lit("ignored").alias("id"), "slug", F.concat("name", F.lit(" Ltd")).alias("name")).unionByName(spark.range(1).select(F.lit("new").alias("id"), F.lit("new").alias("slug"), F.lit("New").alias("name")))
+    return state.upsert(companies, incoming, ["slug"], ["name"])
+
+
+@query("SELECT id, CASE WHEN n % 3 = 0 THEN last_checked_at ELSE 2000000 + n END AS last_checked_at, CASE WHEN n % 3 = 1 THEN 2000000 + n END AS last_error_at, CASE WHEN n % 3 = 1 THEN 'HTTP 500 ' END AS last_error FROM (SELECT *, CAST(id AS BIGINT) AS n FROM docs)")
+def document_clocks(spark, d):
+    docs = derived.relation(spark, d, "docs").withColumn("last_error_at", F.lit(None).cast("long")).withColumn("last_error", F.lit(None).cast("string"))
+    n = F.col("id").cast("long")
+    outcomes = docs.select(F.col("id").alias("document_id"), F.when(n % 3 == 0, "skipped").when(n % 3 == 1, "error").otherwise("unchanged").alias("status"), F.when(n % 3 == 1, "HTTP 500 ").alias("detail"), (n + 2000000).alias("at"))
+    return state.document_clocks(docs, outcomes).select("id", "last_checked_at", "last_error_at", "last_error")
+
+
+@query("SELECT 'companies' AS table_name, CAST(count(*) AS INTEGER) AS rows FROM companies UNION ALL SELECT 'documents', CAST(count(*) AS INTEGER) FROM docs")
+def table_counts(spark, d):
+    return views.table_counts(derived.tables(spark, d))
+
+
+# ---- policy ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, source_url, host, CASE WHEN k > 1 THEN 'domain-already-fetched' END AS skip_reason FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY last_checked_at NULLS FIRST, id) AS k FROM (SELECT id, source_url, last_checked_at, regexp_extract(source_url, '^https://([^/]*)', 1) AS host FROM docs ORDER BY last_checked_at NULLS FIRST, id LIMIT 50))")
+def domain_gate(spark, d):
+    return views.gate(derived.tables(spark, d), 50)
+
+
+_PROBES = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('http://10.0.0.', CAST(page_id % 250 AS VARCHAR(20)), '/x') WHEN 2 THEN concat('ftp://files.example/', CAST(page_id AS VARCHAR(20))) WHEN 3 THEN 'http://localhost:8080/a' WHEN 4 THEN concat('https://172.', CAST(10 + page_id % 30 AS VARCHAR(20)), '.0.1/') ELSE concat('https://192.168.0.1:443/', CAST(page_id AS VARCHAR(20))) END"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 6 = 2 THEN 'unsupported protocol ftp:' WHEN page_id % 6 = 3 THEN 'localhost is not crawlable' WHEN page_id % 6 IN (1, 5) THEN 'private address' WHEN page_id % 6 = 4 AND 10 + page_id % 30 BETWEEN 16 AND 31 THEN 'private address' END AS block, CASE page_id % 6 WHEN 5 THEN '192.168.0.1' WHEN 3 THEN 'localhost:8080' ELSE regexp_extract(u, '://([^/?#]*)', 1) END AS host FROM (SELECT page_id, {_PROBES} AS u FROM pages)", derive=False)
+def host_guard(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.expr(_PROBES).alias("u"))
+    return pages.select("page_id", policy.host_block(F.col("u")).alias("block"), policy.url_host(F.col("u")).alias("host"))
+
+
+ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/12\nDisallow: /*.html$\nCrawl-delay: 2.5\n\nUser-agent: other\nDisallow: /"
+
+
+@query(r"SELECT page_id, CASE WHEN starts_with(p, '/en/12') AND NOT ends_with(p, '.html') THEN true WHEN ends_with(p, '.html') AND NOT starts_with(p, '/en/12') THEN false WHEN ends_with(p, '.html') THEN false ELSE NOT starts_with(p, '/en/1') END AS allowed FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS p FROM pages)", derive=False)
+def robots_allowed(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame([(ROBOTS,)], "body string").select(policy.robots_rules(F.col("body")).alias("r"))
+    return pages.join(F.broadcast(rules)).select("page_id", policy.is_allowed(F.col("r.rules"), F.col("url")).alias("allowed"))  # one row of rules
+
+
+# ---- documents -------------------------------------------------------------------------------------------
+
+
+@query()
+def html_text(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", extract.extract_content(F.col("html")).alias("x"))
+    return pages.select("page_id", "x.title", F.col("x.extracted_text").alias("extracted_text"), X.content_hash(F.col("x.extracted_text")).alias("content_hash"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = _revisions(spark, d)
+    a, b = r.where("rev = 1").select("document_id", F.col("extracted_text").alias("before")), r.where("rev = 2").select("document_id", F.col("extracted_text").alias("after"))
+    return a.join(b, "document_id").where("before <> after")
+
+
+@query()
+def sentences(spark, d):
+    return _base(spark, d).select("doc_id", F.size(X.split_sentences(F.col("text"))).alias("n_sentences"), X.first_sentences(F.col("text"), 2).alias("lead"))
+
+
+@query()
+def diff_hunks(spark, d):
+    return diff.with_diff(_pairs(spark, d), "before", "after").select("document_id", F.explode("hunks").alias("h")).select("document_id", "h.*")
+
+
+@query()
+def cosmetic_verdict(spark, d):
+    out = diff.with_diff(_pairs(spark, d), "before", "after")
+    return out.select("document_id", "stats.*", "cosmetic", "cosmetic_reason", F.size("hunks").alias("n_hunks"))
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    out = diff.with_diff(_pairs(spark, d), "before", "after").where("not cosmetic")
+    named = out.join(derived.relation(spark, d, "docs").select(F.col("id").alias("document_id"), F.col("type").alias("document_type"), F.col("company_id").alias("company_name")), "document_id").withColumn("document_title", F.lit(None).cast("string"))
+    return classify.summarize_heuristically(named)
+
+
+@query()
+def heuristic_summary(spark, d):
+    return _summaries(spark, d).select("document_id", "headline", "summary", "user_impact", "severity", F.array_join("tags", ",").alias("tags"), "confidence", classify.should_publish(F.col("confidence")).alias("publish"), classify.valid_summary().alias("valid"))
+
+
+@query()
+def summary_prompt(spark, d):
+    s = _summaries(spark, d)
+    return s.select("document_id", classify.user_prompt(s).alias("prompt"))
+
+
+@query()
+def diff_segments(spark, d):
+    out = _pairs(spark, d).withColumn("parts", diff.word_diff(F.col("before"), F.col("after")))
+    return out.select("document_id", F.explode(diff.view_segments(F.col("parts"), "after")).alias("s")).select("document_id", "s.*")
+
+
+@query()
+def crawl_report(spark, d):
+    r = _revisions(spark, d)
+    page = F.concat(F.lit("<html><head><title>T</title></head><body><nav>menu</nav><article><p>"), F.replace(fmt.escape_html(F.col("extracted_text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>"))
+    status = F.when((F.col("rev") == 2) & (F.col("document_id").cast("long") % 10 == 0), 500).otherwise(200)
+    fetches = r.select("document_id", F.lit("https://x.example/").alias("url"), status.alias("http_status"), F.lit("").alias("status_text"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("error"), page.alias("html"), "fetched_at")
+    docs = derived.relation(spark, d, "docs").select("id", "type", F.col("company_id").alias("company_slug"), F.col("company_id").alias("company_name"))
+    return crawl.report(crawl.run(docs, fetches).outcomes)
