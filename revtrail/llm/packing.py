@@ -10,11 +10,13 @@ the lower bound on bins, or when no step is left.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,57 +29,100 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Fixed value: the pre-tokenizer whose rule ``_LATIN`` restates for lower-case Latin-1 text.
+_SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself if printable in
+    Latin-1, else the next one from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 173)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class _Latin(dict):
+    """Ids of pieces of lower-case Latin-1 text, split by the tokenizer's own rule; each new part goes to the BPE
+    model alone, which is several times as fast as the whole pipeline."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.parts, self.letters = model, {}, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        parts = self.parts
+        self[word] = ids = b"".join([parts.get(p) or self._part(p) for p in _LATIN.findall(word)])
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        self.parts[part] = ids = _packed([t.id for t in tokens])
+        return ids
+
+
+class _Any(dict):
+    """Ids of pieces by the whole pipeline."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+
 class WordEncoder:
-    """Ids of texts under a tokenizer that treats white space as a mere boundary: each white-space delimited
-    piece is encoded once and kept (at most ``kept`` pieces at a time)."""
+    """Ids of texts under a tokenizer to which white space is a mere boundary: each white-space delimited piece
+    is encoded once and kept (up to about ``kept`` of them)."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.kept, self.specials = kept, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        setup = json.loads(tokenizer.to_str())
+        steps = [x["type"] for x in (setup["normalizer"] or {}).get("normalizers", [])]
+        rule = ((setup["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        self.fits = steps == ["NFC", "Replace", "Lowercase"] and rule == _SPLIT_RULE
+        self.latin, self.any = _Latin(tokenizer.model), _Any(tokenizer)
 
-        special = sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
-        self.specials, self.mark = [x for x, _ in special], special[0] if special else None
-
-    def _words(self, text: str | None) -> list[str]:
+    def _one(self, text: str | None) -> bytes:
         if not text:
-            return []
-        if not any(x in text for x in self.specials):
-            try:  # folding case first merges cache entries; within Latin-1 it commutes with the tokenizer's own
+            return b""
+        known: dict = self.any
+        if self.fits and not any(x in text for x in self.specials):
+            try:  # folding case first is what the tokenizer does within Latin-1
                 text.encode("latin-1")
-                text = text.lower() if self.lowers else text
+                text, known = text.lower(), self.latin
             except UnicodeEncodeError:
                 pass
-        return _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
-
-    @cached_property
-    def lowers(self) -> bool:
-        return all(self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(x.lower(), add_special_tokens=False).ids for x in ("WORD", "Éa", "Ñ"))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words together, held apart by a special token, which the model never sees."""
-        alone = [w for w in words if self.mark is None or not w or any(x in w for x in self.specials)]
-        joint = [w for w in words if w not in set(alone)]
-        if joint:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(joint)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[1])
-            raw = ids.tobytes()
-            for word, a, b in zip(joint, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self.known[word] = raw[4 * a : 4 * b]
-        for word in alone:
-            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        words = [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(known.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: none)."""
-        split = [self._words(t) for t in texts]
-        if len(self.known) > self.kept:
-            self.known = {}
-        known = self.known
-        missing = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(missing), 4096):
-            self._learn(missing[at : at + 4096])
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        for cache in (self.latin, self.latin.parts, self.any):
+            if len(cache) > self.kept:
+                cache.clear()
+        return list(map(self._one, texts))
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder per worker process, so that its cache outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -218,7 +263,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     groups = blocks_for(docs.count(), group)
 
     def pieces(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
