@@ -329,8 +329,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     text any one stays; rows whose group has no id all stay."""
     groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
-    keepers = groups.where(F.col("keeper").isNotNull()).select("keeper", F.col("text_key").alias("keeper_key"))
-    anonymous = groups.where(F.col("keeper").isNull()).select(F.col("text_key").alias("keeper_key"))
+    keepers = groups.where(F.col("keeper").isNotNull()).select(F.col("keeper").alias("_keeper"), F.col("text_key").alias("_keeper_key"))
+    anonymous = groups.where(F.col("keeper").isNull()).select(F.col("text_key").alias("_keeper_key"))
     marked = docs.withColumn("_key", key)
-    kept = marked.join(keepers, (F.col("_key") == F.col("keeper_key")) & (F.col(f"`{id_col}`") == F.col("keeper"))).dropDuplicates([id_col, "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(marked.where(F.col(f"`{id_col}`").isNull()).join(anonymous, F.col("_key") == F.col("keeper_key"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = marked.join(keepers, (F.col("_key") == F.col("_keeper_key")) & (F.col(f"`{id_col}`") == F.col("_keeper"))).dropDuplicates([id_col, "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(marked.where(F.col(f"`{id_col}`").isNull()).join(anonymous, F.col("_key") == F.col("_keeper_key"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))

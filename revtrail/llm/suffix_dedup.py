@@ -307,8 +307,8 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text",
     """
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.md5(raw)).alias("_key"), raw.alias("_raw"))
-    marks = repeated_stretches(docs.select(F.unhex(F.md5(raw)).alias("key"), raw.alias("raw")), window, group_limit)
-    joined = texts.join(marks, texts["_key"] == marks["key"], "left").select(*[F.col(f"`{c}`") for c in keep], "_raw", "stretches")
+    marks = repeated_stretches(docs.select(F.unhex(F.md5(raw)).alias("key"), raw.alias("raw")), window, group_limit).withColumnsRenamed({"key": "_mark", "stretches": "_stretches"})
+    joined = texts.join(marks, F.col("_key") == F.col("_mark"), "left").select(*[F.col(f"`{c}`") for c in keep], "_raw", "_stretches")
 
     def run(batches):
         for batch in batches:
