@@ -78,7 +78,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_items: int = 2, max_pattern_bytes: int = 16 << 20, spans: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_items: int = 2, max_pattern_bytes: int = 2 << 20, spans: bool = False) -> DataFrame:
     """``docs`` without ``text_col`` (with it and ``hit_spans`` if ``spans``), plus n_words, n_hit, n_items,
     items_sha256, contaminated.  Those names replace columns of the same name.
 

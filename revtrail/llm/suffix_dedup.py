@@ -259,8 +259,9 @@ def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 2
     long_enough = texts.where(F.length("raw") >= window).select("key", "raw")
     found = lambda: long_enough.mapInArrow(_find_runs(window), "key binary, place long, anchor long, whole long")
     groups = found().groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1").select(F.col("anchor").alias("g"), (F.col("least") != F.col("most")).alias("mixed"))
-    runs_left = found()
-    shared = checkpoint(runs_left.join(groups, runs_left.anchor == groups.g).select("key", "place", "anchor", "whole", "mixed"))
+    # Checkpointed, as all sides of joins on keys that can be hot: a plain exchange on both sides can be split.
+    groups = checkpoint(groups)
+    shared = checkpoint(found().join(groups, F.col("anchor") == F.col("g")).select("key", "place", "anchor", "whole", "mixed"))
     mixed = shared.where("mixed").select("key", "place", "anchor", "whole")
     head = lambda c: F.xxhash64(c)
     kinds = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(head("key")).alias("who"))
@@ -270,7 +271,7 @@ def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 2
     stretch = lambda df: df.select("key", F.shiftright("place", 24).alias("start"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(4095) + window).alias("end"))
     whole = stretch(shared.where("not mixed")).unionByName(stretch(told.where("n > 1")))
     wanted = told.where("fewest = 1").where((F.col("n") == 1) | (F.col("who") == head("key")))
-    asked = wanted.groupBy("key").agg(F.collect_set(F.struct("place", "anchor", "whole", (F.col("n") == 1).alias("alone"), (F.col("distinct_runs") > group_limit).alias("large"))).alias("w"))
+    asked = checkpoint(wanted.groupBy("key").agg(F.collect_set(F.struct("place", "anchor", "whole", (F.col("n") == 1).alias("alone"), (F.col("distinct_runs") > group_limit).alias("large"))).alias("w")))
     schema = "key binary, place long, anchor long, whole long, alone boolean, bytes binary"
     members = kinds.where("fewest = 1").count()
     parts = max(shuffle_partitions(texts.sparkSession), blocks_for(members, per_task))
@@ -284,7 +285,7 @@ def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 2
         single = brought(True).dropDuplicates(["anchor", "whole"]).mapInArrow(_window_hashes(window), "key binary, start long, anchor long, back long, h1 long, h2 long, alone boolean")
         twice = single.groupBy("anchor", "back", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         parts_found = parts_found.unionByName(single.where("alone").join(twice, ["anchor", "back", "h1", "h2"]).select("key", "start", (F.col("start") + window).alias("end")))
-    return whole.unionByName(parts_found).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("stretches"))
+    return checkpoint(whole.unionByName(parts_found).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("stretches")))
 
 
 def merge(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
