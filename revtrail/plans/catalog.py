@@ -269,9 +269,8 @@ ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/12\nDisallow: /*.html$\nCra
 
 @query(r"SELECT page_id, CASE WHEN starts_with(p, '/en/12') AND NOT ends_with(p, '.html') THEN true WHEN ends_with(p, '.html') AND NOT starts_with(p, '/en/12') THEN false WHEN ends_with(p, '.html') THEN false ELSE NOT starts_with(p, '/en/1') END AS allowed FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS p FROM pages)", derive=False)
 def robots_allowed(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame([(ROBOTS,)], "body string").select(policy.robots_rules(F.col("body")).alias("r"))
-    return pages.join(F.broadcast(rules)).select("page_id", policy.is_allowed(F.col("r.rules"), F.col("url")).alias("allowed"))  # one row of rules
+    rules = F.array(*[F.struct(F.lit(r["allow"]).alias("allow"), F.lit(r["pattern"]).alias("pattern")) for r in policy.parse_robots(ROBOTS)["rules"]])
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", policy.is_allowed(rules, F.col("url")).alias("allowed"))
 
 
 # ---- documents -------------------------------------------------------------------------------------------
