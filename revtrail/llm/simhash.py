@@ -236,17 +236,32 @@ def _profile(text: str, k: int) -> tuple[int, int, int, bytes]:
     return len(h), *(int(np.uint64(fingerprint(x)).view(np.int64)) for x in (h, other)), h[:_SKETCH].astype("<u8").tobytes()
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard of two bottom-k sketches: exact if both hold whole sets."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    if len(a) < _SKETCH and len(b) < _SKETCH:
-        return len(both) / max(1, len(a) + len(b) - len(both))
-    union = np.union1d(a, b)[:_SKETCH]
-    return np.count_nonzero(both <= union[-1]) / len(union)
+def _similarities(sketch: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Jaccard of i with each of others over the range of hashes that both sketches cover: exact where both hold
+    whole sets, else an estimate.  Sketches are sorted rows, filled up with the largest number."""
+    own = sketch[i, : size[i]]
+    covered = np.where(size < _SKETCH, np.uint64(2**64 - 1), sketch[:, -1])
+    out = np.empty(len(others))
+    for at in range(0, len(others), 2048):
+        part = others[at : at + 2048]
+        limit = np.minimum(covered[i], covered[part])
+        rows = sketch[part]
+        within = (rows <= limit[:, None]) & (np.arange(_SKETCH) < size[part, None])
+        place = np.minimum(np.searchsorted(own, rows), len(own) - 1)
+        both = np.count_nonzero((own[place] == rows) & within, axis=1)
+        out[at : at + 2048] = both / (np.searchsorted(own, limit, "right") + np.count_nonzero(within, axis=1) - both)
+    return out
 
 
-def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs between positions left and right (a pair needs one end in left)."""
+def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.ndarray, right: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs between positions left and right, of texts that have words.  Pairs
+    already connected are not weighed again, so a group of copies costs no more than its links."""
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(x) // 8 for x in sketch])
+    rows = np.full((len(sketch), _SKETCH), 2**64 - 1, np.uint64)
+    for x, raw in zip(rows, sketch, strict=True):
+        x[: len(raw) // 8] = np.frombuffer(raw, "<u8")
     parent = np.arange(len(n))
     out: list[tuple[int, int]] = []
 
@@ -261,20 +276,32 @@ def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[np.ndarray], left:
     sizes, values = n[order], fp[order]
     left = left[np.argsort(n[left], kind="stable")]
     for at in range(0, len(left), 128):
-        rows = left[at : at + 128]
-        lo, hi = np.searchsorted(sizes, int(n[rows[0]] * similarity), "left"), np.searchsorted(sizes, int(n[rows[-1]] / similarity) + 1, "right")
-        apart = np.bitwise_count(fp[rows, None, 0] ^ values[None, lo:hi, 0]) + np.bitwise_count(fp[rows, None, 1] ^ values[None, lo:hi, 1])
-        for i, found in zip(rows, apart <= bits, strict=True):
-            for j, root in zip(near := order[lo + np.flatnonzero(found)], roots(near), strict=True):
-                if roots(np.array([i]))[0] == roots(np.array([root]))[0]:
-                    continue
-                if min(n[i], n[j]) >= similarity * max(n[i], n[j]) and _similarity(sketch[i], sketch[j]) >= similarity:
+        block = left[at : at + 128]
+        lo, hi = np.searchsorted(sizes, int(n[block[0]] * similarity), "left"), np.searchsorted(sizes, int(n[block[-1]] / similarity) + 1, "right")
+        apart = np.bitwise_count(fp[block, None, 0] ^ values[None, lo:hi, 0]) + np.bitwise_count(fp[block, None, 1] ^ values[None, lo:hi, 1])
+        for i, found in zip(block, apart <= bits, strict=True):
+            near = order[lo + np.flatnonzero(found)]
+            root = roots(near)
+            fits = (root != roots(np.array([i]))[0]) & (np.minimum(n[i], n[near]) >= similarity * np.maximum(n[i], n[near]))
+            near, root = near[fits], root[fits]
+            while len(near):  # the first of every group not yet joined, then the next of those that differ
+                _, first = np.unique(root, return_index=True)
+                alike = _similarities(rows, size, i, near[first]) >= similarity
+                for j in near[first[alike]]:
                     parent[roots(np.array([j]))[0]] = roots(np.array([i]))[0]
                     out.append((int(i), int(j)))
+                rest = ~np.isin(root, root[first[alike]])
+                rest[first] = False
+                if alike.any() or rest.sum() <= 64:
+                    near, root = near[rest], root[rest]
+                    continue
+                near, root = near[rest], root[rest]
+                alike = _similarities(rows, size, i, near) >= similarity  # all that are left, in one go
+                near, root = near[alike], root[alike]
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 34, block: int = 16384) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 30, block: int = 16384) -> DataFrame:
     """(text_key, keeper): per distinct text (MD5; null reads as empty) the smallest id of its group, where
     texts chain by a Jaccard similarity of their word shingles of at least ``similarity``.
 
@@ -312,7 +339,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             edges = [(0, x) for x in range(1, len(n))]
         else:
             fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
-            sketch = [np.frombuffer(x, "<u8") for x in t.column("sketch").to_pylist()]
+            sketch = t.column("sketch").to_pylist()
             edges = link_similar(n, fp, sketch, np.flatnonzero(home & (at == i)), np.flatnonzero(at == j), similarity, bits)
             if i != j:
                 edges += link_similar(n, fp, sketch, np.flatnonzero(home & (at == j)), np.flatnonzero(at == i), similarity, bits)
