@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import checkpoint, free_name
 from .url_filter import url_host
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -206,8 +206,13 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), url_host(F.col(f"`{url_col}`")).alias("_host"), F.col(f"`{html_col}`").alias(free_name([id_col, url_col], "_html")))
     html = rows.columns[3]
     outside = rows.where((F.col("_host") != "") & F.col(html).isNotNull())
-    templates = host_templates(outside.select(F.col("_host").alias("host"), F.shiftrightunsigned(F.xxhash64(id_col, url_col), 2).alias("page"), F.col(html).alias("html")), min_pages)
-    joined = rows.join(templates, rows["_host"] == templates["host"], "left").select(id_col, url_col, html, "template")
+    templates = checkpoint(host_templates(outside.select(F.col("_host").alias("host"), F.shiftrightunsigned(F.xxhash64(id_col, url_col), 2).alias("page"), F.col(html).alias("html")), min_pages).withColumnsRenamed({"host": "_of", "template": "_template"}))
+    # Checkpointed, so that the join has a plain exchange on either side and a hot host can be split; where no
+    # host has template texts, pages need not move at all.
+    if templates.isEmpty():
+        joined = rows.select(id_col, url_col, html, F.lit(None).cast("array<long>").alias("_template"))
+    else:
+        joined = rows.join(templates, F.col("_host") == F.col("_of"), "left").select(id_col, url_col, html, "_template")
 
     def run(batches):
         for batch in batches:
