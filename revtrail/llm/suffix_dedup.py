@@ -267,7 +267,7 @@ def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 2
     kinds = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(head("key")).alias("who"))
     sizes = kinds.groupBy("anchor").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("distinct_runs")).withColumnRenamed("anchor", "g")
     kinds = checkpoint(kinds.join(sizes, F.col("anchor") == F.col("g")).select(F.col("anchor").alias("ka"), F.col("whole").alias("kw"), "n", "who", "fewest", "distinct_runs"))
-    told = mixed.join(kinds, (F.col("anchor") == F.col("ka")) & (F.col("whole") == F.col("kw")))
+    told = checkpoint(mixed.join(kinds, (F.col("anchor") == F.col("ka")) & (F.col("whole") == F.col("kw"))))  # used twice
     stretch = lambda df: df.select("key", F.shiftright("place", 24).alias("start"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(4095) + window).alias("end"))
     whole = stretch(shared.where("not mixed")).unionByName(stretch(told.where("n > 1")))
     wanted = told.where("fewest = 1").where((F.col("n") == 1) | (F.col("who") == head("key")))
