@@ -216,7 +216,6 @@ def unsubscribe_by_token(spark, d):
 @query(f"SELECT c.id AS change_id, s.email, s.unsubscribe_token, o.name AS company_name, d.type AS document_type, replace(replace(replace(coalesce(c.headline, 'A change was detected'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS headline, coalesce(c.summary, '') AS summary FROM {_CDO} JOIN {_SUBS} s ON s.company_id = d.company_id WHERE c.published AND c.notified_at IS NULL AND s.unsubscribed_at IS NULL AND c.detected_at % 17 <> 0 AND c.detected_at % 50 = 3")
 def recipients(spark, d):
     t = derived.tables(spark, d)
-    t.changes = t.changes.where("detected_at % 50 = 3")
     ledger = t.changes.where("detected_at % 17 = 0").select(F.col("id").alias("change_id"))
     return views.recipients(t, ledger)
 
