@@ -282,9 +282,10 @@ def html_text(spark, d):
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every revision whose text differs from its predecessor's."""
     r = _revisions(spark, d)
-    a, b = r.where("rev = 1").select("document_id", F.col("extracted_text").alias("before")), r.where("rev = 2").select("document_id", F.col("extracted_text").alias("after"))
-    return a.join(b, "document_id").where("before <> after")
+    a, b = r.select("document_id", (F.col("rev") + 1).alias("rev"), F.col("extracted_text").alias("before")), r.select("document_id", "rev", F.col("extracted_text").alias("after"))
+    return a.join(b, ["document_id", "rev"]).where("before <> after")
 
 
 @query()
@@ -294,13 +295,13 @@ def sentences(spark, d):
 
 @query()
 def diff_hunks(spark, d):
-    return diff.with_diff(_pairs(spark, d), "before", "after").select("document_id", F.explode("hunks").alias("h")).select("document_id", "h.*")
+    return diff.with_diff(_pairs(spark, d), "before", "after").select("document_id", "rev", F.explode("hunks").alias("h")).select("document_id", "rev", "h.*")
 
 
 @query()
 def cosmetic_verdict(spark, d):
     out = diff.with_diff(_pairs(spark, d), "before", "after")
-    return out.select("document_id", "stats.*", "cosmetic", "cosmetic_reason", F.size("hunks").alias("n_hunks"))
+    return out.select("document_id", "rev", "stats.*", "cosmetic", "cosmetic_reason", F.size("hunks").alias("n_hunks"))
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -311,19 +312,19 @@ def _summaries(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def heuristic_summary(spark, d):
-    return _summaries(spark, d).select("document_id", "headline", "summary", "user_impact", "severity", F.array_join("tags", ",").alias("tags"), "confidence", classify.should_publish(F.col("confidence")).alias("publish"), classify.valid_summary().alias("valid"))
+    return _summaries(spark, d).select("document_id", "rev", "headline", "summary", "user_impact", "severity", F.array_join("tags", ",").alias("tags"), "confidence", classify.should_publish(F.col("confidence")).alias("publish"), classify.valid_summary().alias("valid"))
 
 
 @query()
 def summary_prompt(spark, d):
     s = _summaries(spark, d)
-    return s.select("document_id", classify.user_prompt(s).alias("prompt"))
+    return s.select("document_id", "rev", classify.user_prompt(s).alias("prompt"))
 
 
 @query()
 def diff_segments(spark, d):
     out = _pairs(spark, d).withColumn("parts", diff.word_diff(F.col("before"), F.col("after")))
-    return out.select("document_id", F.explode(diff.view_segments(F.col("parts"), "after")).alias("s")).select("document_id", "s.*")
+    return out.select("document_id", "rev", F.explode(diff.view_segments(F.col("parts"), "after")).alias("s")).select("document_id", "rev", "s.*")
 
 
 @query()

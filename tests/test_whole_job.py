@@ -26,3 +26,15 @@ def test_recipients_of_every_change(spark):
             want += [(c["id"], s["email"], s["unsubscribe_token"], names[d["company_id"]], d["type"], *said) for s in active if s["company_id"] == d["company_id"]]
     assert len({w[0] for w in want}) > 50
     assert sorted(map(tuple, catalog.QUERIES["recipients"](spark, SF).collect())) == sorted(want)
+
+
+@tables
+@pytest.mark.parametrize("name", ["diff_hunks", "cosmetic_verdict", "heuristic_summary", "summary_prompt", "diff_segments"])
+def test_every_changed_revision_is_diffed(spark, name):
+    texts = {(r["document_id"], r["rev"]): r["extracted_text"] for r in derived.relation(spark, SF, "revisions").collect()}
+    changed = {(d, k) for (d, k), text in texts.items() if k > 1 and text != texts[d, k - 1]}
+    got = {(r["document_id"], r["rev"]) for r in catalog.QUERIES[name](spark, SF).collect()}
+    if name in ("heuristic_summary", "summary_prompt"):  # only of changes that are not cosmetic
+        changed = {(r["document_id"], r["rev"]) for r in catalog.QUERIES["cosmetic_verdict"](spark, SF).collect() if not r["cosmetic"]}
+    assert {k for _, k in changed} == {2, 3}
+    assert got == changed
