@@ -226,14 +226,20 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 _SKETCH = 128
 
 
-def _profile(text: str, k: int) -> tuple[int, int, int, bytes]:
-    """Distinct shingles, two 64-bit fingerprints of them, and the smallest hashes (whole set if few)."""
+#: A pair of at least the wanted similarity is estimated lower by this much once in some ten million times.
+_MARGIN = 0.2
+#: Shingles in a block whose whole sets are compared.
+_BLOCK_SHINGLES = 1 << 22
+
+
+def _profile(text: str, k: int, most: int | None = _SKETCH) -> tuple[int, int, int, bytes]:
+    """Distinct shingles, two 64-bit fingerprints of them, and the ``most`` smallest hashes (whole set if few)."""
     h = np.unique(shingle_hashes(text, k))
     if not len(h):
         return 0, 0, 0, b""
     other = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     other ^= other >> np.uint64(32)
-    return len(h), *(int(np.uint64(fingerprint(x)).view(np.int64)) for x in (h, other)), h[:_SKETCH].astype("<u8").tobytes()
+    return len(h), *(int(np.uint64(fingerprint(x)).view(np.int64)) for x in (h, other)), h[:most].astype("<u8").tobytes()
 
 
 def _similarities(sketch: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -253,15 +259,30 @@ def _similarities(sketch: np.ndarray, size: np.ndarray, i: int, others: np.ndarr
     return out
 
 
-def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.ndarray, right: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs between positions left and right, of texts that have words.  Pairs
-    already connected are not weighed again, so a group of copies costs no more than its links."""
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return both / (len(a) + len(b) - both)
+
+
+def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.ndarray, right: np.ndarray, similarity: float, bits: int, whole_sets: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the similar pairs between positions left and right, of texts that have words, and the
+    positions whose pairs the sketches cannot decide.  Pairs already connected are not weighed again, so a group
+    of copies costs no more than its links.
+
+    Pairs of texts whose sketches are whole are all found, by the hashes that similar sets must share among their
+    smallest, and decided exactly.  Of the others those within ``bits`` are estimated, and both texts of a pair
+    within _MARGIN are undecided.  With ``whole_sets`` ``sketch`` holds whole sets, and just these others are
+    decided, exactly.
+    """
+    none = np.zeros(0, np.int64)
     if not len(left) or not len(right):
-        return []
-    size = np.array([len(x) // 8 for x in sketch])
+        return [], none
+    sets = [np.frombuffer(raw, "<u8") for raw in sketch]
+    size = np.minimum([len(x) for x in sets], _SKETCH)
     rows = np.full((len(sketch), _SKETCH), 2**64 - 1, np.uint64)
-    for x, raw in zip(rows, sketch, strict=True):
-        x[: len(raw) // 8] = np.frombuffer(raw, "<u8")
+    for x, own in zip(rows, sets, strict=True):
+        x[: min(len(own), _SKETCH)] = own[:_SKETCH]
+    whole, undecided = n < _SKETCH, np.zeros(len(n), bool)
     parent = np.arange(len(n))
     out: list[tuple[int, int]] = []
 
@@ -272,6 +293,67 @@ def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.nd
         parent[at] = now
         return now
 
+    def similar(i: int, others: np.ndarray) -> np.ndarray:
+        found = _similarities(rows, size, i, others)
+        if not whole_sets:
+            return found >= similarity
+        found = found >= similarity - _MARGIN
+        for p in np.flatnonzero(found):
+            found[p] = _jaccard(sets[i], sets[others[p]]) >= similarity
+        return found
+
+    def fitting(i: int, near: np.ndarray) -> np.ndarray:
+        return near[np.minimum(n[i], n[near]) >= similarity * np.maximum(n[i], n[near])]
+
+    def join(i: int, near: np.ndarray) -> None:
+        root = roots(near)
+        fits = (root != roots(np.array([i]))[0]) & (np.minimum(n[i], n[near]) >= similarity * np.maximum(n[i], n[near]))
+        near, root = near[fits], root[fits]
+        while len(near):  # the first of every group not yet joined, then the next of those that differ
+            _, first = np.unique(root, return_index=True)
+            alike = similar(i, near[first])
+            for j in near[first[alike]]:
+                parent[roots(np.array([j]))[0]] = roots(np.array([i]))[0]
+                out.append((int(i), int(j)))
+            rest = ~np.isin(root, root[first[alike]])
+            rest[first] = False
+            if alike.any() or rest.sum() <= 64:
+                near, root = near[rest], root[rest]
+                continue
+            near, root = near[rest], root[rest]
+            alike = similar(i, near)  # all that are left, in one go
+            near, root = near[alike], root[alike]
+
+    def doubt(i: int, near: np.ndarray) -> None:
+        near = fitting(i, near)
+        for part in (near[:64], near[64:]):
+            if undecided[i]:  # pairs of two undecided texts are weighed anyway
+                part = part[~undecided[part]]
+            if len(part):
+                close = part[_similarities(rows, size, i, part) >= similarity - _MARGIN]
+                undecided[close] = True
+                undecided[i] |= len(close) > 0
+
+    if not whole_sets:
+        few = right[whole[right]]
+        first_hashes = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+        among = np.arange(_SKETCH) < first_hashes[few, None]
+        hashes, owners = rows[few][among], np.repeat(few, first_hashes[few])
+        ascending = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[ascending], owners[ascending]
+        for i in left[whole[left]]:
+            wanted = rows[i, : first_hashes[i]]
+            lo, hi = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+            if (hi - lo).sum() > len(few):
+                near = few[roots(few) != roots(np.array([i]))[0]]
+                if len(near) <= 2048:
+                    join(i, near)
+                    continue
+            near = np.concatenate([none, *[owners[x:y] for x, y in zip(lo, hi, strict=True) if y > x]])
+            near = np.unique(near[roots(near) != roots(np.array([i]))[0]])
+            if len(near):
+                join(i, near)
+
     order = right[np.argsort(n[right], kind="stable")]
     sizes, values = n[order], fp[order]
     left = left[np.argsort(n[left], kind="stable")]
@@ -281,33 +363,51 @@ def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.nd
         apart = np.bitwise_count(fp[block, None, 0] ^ values[None, lo:hi, 0]) + np.bitwise_count(fp[block, None, 1] ^ values[None, lo:hi, 1])
         for i, found in zip(block, apart <= bits, strict=True):
             near = order[lo + np.flatnonzero(found)]
-            root = roots(near)
-            fits = (root != roots(np.array([i]))[0]) & (np.minimum(n[i], n[near]) >= similarity * np.maximum(n[i], n[near]))
-            near, root = near[fits], root[fits]
-            while len(near):  # the first of every group not yet joined, then the next of those that differ
-                _, first = np.unique(root, return_index=True)
-                alike = _similarities(rows, size, i, near[first]) >= similarity
-                for j in near[first[alike]]:
-                    parent[roots(np.array([j]))[0]] = roots(np.array([i]))[0]
-                    out.append((int(i), int(j)))
-                rest = ~np.isin(root, root[first[alike]])
-                rest[first] = False
-                if alike.any() or rest.sum() <= 64:
-                    near, root = near[rest], root[rest]
-                    continue
-                near, root = near[rest], root[rest]
-                alike = _similarities(rows, size, i, near) >= similarity  # all that are left, in one go
-                near, root = near[alike], root[alike]
-    return out
+            near = near[(near != i) & ~(whole[i] & whole[near])]
+            if len(near):
+                (join if whole_sets else doubt)(i, near)
+    return out, np.flatnonzero(undecided)
+
+
+def _links(texts: DataFrame, similarity: float, bits: int, block: int, whole_sets: bool) -> DataFrame:
+    """(a, b) of similar keys, and (key, null) of keys that are undecided.  texts: key, n, f1, f2, sketch."""
+    spark = texts.sparkSession
+    texts = texts.withColumn("band", F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity)) + 1e-9)).otherwise(-9).cast("int"))
+    counts = {r[0]: (r[1], r[2] if whole_sets else 0) for r in texts.groupBy("band").agg(F.count(F.lit(1)), F.sum("n")).collect()}
+    both = {b: [x + y for x, y in zip(c, counts.get(b + 1, (0, 0)), strict=True)] for b, c in counts.items()}
+    blocks = spark.createDataFrame([(b, max(blocks_for(rows, block), blocks_for(shingles, _BLOCK_SHINGLES))) for b, (rows, shingles) in both.items()] or [(-9, 1)], "band int, blocks int")
+    # A home text meets every block of its band and of the visitors: rows (band, block of left, block of right).
+    own, below = F.struct("band", F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home"))
+    placed = texts.select("key", "n", "f1", "f2", "sketch", F.explode(F.when(F.col("band") > -9, F.array(own, below)).otherwise(F.array(own))).alias("in")).select("key", "n", "f1", "f2", "sketch", "in.*").join(F.broadcast(blocks), "band").withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "n", "f1", "f2", "sketch", "band", "home", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+
+    def linked(t: pa.Table) -> pa.Table:
+        keys, home, at = (t.column(c).to_numpy() for c in ("key", "home", "at"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        n = t.column("n").to_numpy()
+        undecided: set[int] = set()
+        if n.max(initial=0) == 0:
+            edges = [(0, x) for x in range(1, len(n))]
+        else:
+            fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
+            sketch, edges = t.column("sketch").to_pylist(), []
+            for x, y in ((i, j), (j, i))[: 1 + (i != j)]:
+                some, open_ = link_similar(n, fp, sketch, np.flatnonzero(home & (at == x)), np.flatnonzero(at == y), similarity, bits, whole_sets)
+                edges += some
+                undecided.update(open_.tolist())
+        return pa.table({"a": pa.array([keys[x] for x, _ in edges] + [keys[x] for x in undecided], pa.string()), "b": pa.array([keys[y] for _, y in edges] + [None] * len(undecided), pa.string())})
+
+    return pairs.groupBy("band", "i", "j").applyInArrow(linked, "a string, b string")
 
 
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 30, block: int = 16384) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 40, block: int = 16384) -> DataFrame:
     """(text_key, keeper): per distinct text (MD5; null reads as empty) the smallest id of its group, where
     texts chain by a Jaccard similarity of their word shingles of at least ``similarity``.
 
-    Candidates are pairs of fitting size whose 128-bit fingerprints differ in at most ``bits`` bits; they are
-    confirmed by bottom-128 sketches, which are whole for texts of fewer distinct shingles and otherwise
-    estimate the similarity to +-0.035 at 0.8.  Wordless texts are one group.  Ids that are null never keep.
+    Every link is decided on whole sets of shingle hashes.  Texts of fewer than 128 distinct shingles are linked
+    by their sketches, which are whole.  Of the others, bottom-128 sketches find candidates - pairs of fitting
+    size, at most ``bits`` of 128 fingerprint bits and _MARGIN of similarity away - and the whole sets of those
+    texts alone are joined back by key.  Wordless texts are one group.  Ids that are null never keep.
     """
     key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
 
@@ -321,31 +421,21 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             kinds = (batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "key", "n", "f1", "f2", "sketch"])
 
-    each = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").alias("text")).mapInArrow(profiled, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, f1 long, f2 long, sketch binary")
-    texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "f1", "f2", "sketch")).alias("p")).select("key", "least", "p.*").withColumn("band", F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity)) + 1e-9)).otherwise(-9).cast("int")))
-    counts = {r[0]: r[1] for r in texts.groupBy("band").count().collect()}
-    spark = docs.sparkSession
-    blocks = spark.createDataFrame([(b, blocks_for(n + counts.get(b + 1, 0), block)) for b, n in counts.items()] or [(-9, 1)], "band int, blocks int")
-    slim = texts.select("key", "n", "f1", "f2", "sketch", "band")
-    # A home text meets every block of its band and of the visitors: rows (band, block of left, block of right).
-    placed = slim.withColumn("home", F.lit(True)).unionByName(slim.where("band > -9").withColumn("band", F.col("band") - 1).withColumn("home", F.lit(False))).join(F.broadcast(blocks), "band").withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "n", "f1", "f2", "sketch", "band", "home", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-
-    def linked(t: pa.Table) -> pa.Table:
-        keys, home, at = (t.column(c).to_numpy() for c in ("key", "home", "at"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        n = t.column("n").to_numpy()
-        if n.max(initial=0) == 0:
-            edges = [(0, x) for x in range(1, len(n))]
-        else:
-            fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
-            sketch = t.column("sketch").to_pylist()
-            edges = link_similar(n, fp, sketch, np.flatnonzero(home & (at == i)), np.flatnonzero(at == j), similarity, bits)
-            if i != j:
-                edges += link_similar(n, fp, sketch, np.flatnonzero(home & (at == j)), np.flatnonzero(at == i), similarity, bits)
-        return pa.table({"a": pa.array([keys[x] for x, _ in edges], pa.string()), "b": pa.array([keys[y] for _, y in edges], pa.string())})
-
-    groups = components(pairs.groupBy("band", "i", "j").applyInArrow(linked, "a string, b string"))
+    def whole(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [_profile(text or "", shingle, None) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["key", "n", "f1", "f2", "sketch"])
+
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    each = keyed.mapInArrow(profiled, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, f1 long, f2 long, sketch binary")
+    texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "f1", "f2", "sketch")).alias("p")).select("key", "least", "p.*"))
+    found = checkpoint(_links(texts, similarity, bits, block, False))
+    undecided = found.where(F.col("b").isNull()).select(F.col("a").alias("key")).distinct()
+    again = keyed.select("key", "text").join(undecided, "key", "left_semi").dropDuplicates(["key"])
+    edges = found.where(F.col("b").isNotNull()).unionByName(_links(checkpoint(again.mapInArrow(whole, "key string, n long, f1 long, f2 long, sketch binary")), similarity, bits, block, True))
+    groups = components(edges)
     named = texts.select("key", "least").join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("group"))
     keepers = named.groupBy("group").agg(F.min("least").alias("keeper"))
     return named.join(keepers, "group").select(F.col("key").alias("text_key"), "keeper")
