@@ -65,3 +65,29 @@ def test_derived_tables_against_sql_over_every_text(spark, name):
     cols = [c[0] for c in want.description]
     plain = lambda rows: sorted(repr([float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r]) for r in rows)
     assert plain([tuple(r[c] for c in cols) for r in catalog.QUERIES[name](spark, SF).collect()]) == plain(want.fetchall())
+
+
+def test_diff_beyond_the_limit_is_a_shortest_script():
+    from revtrail.operators import diff
+
+    old = [f"w{i % 997}" for i in range(20_000)]
+    new = [f"new{i}" if i % 19 == 7 and i < 19 * 1001 else w for i, w in enumerate(old)]
+    parts = diff.diff_parts(" ".join(old), " ".join(new))
+    assert len(diff.hunks_of(parts)) == 1001
+    assert sum(len(p["value"].split()) for p in parts if p["op"] == "delete") == 1001
+    for op, text in (("insert", old), ("delete", new)):
+        assert "".join(p["value"] for p in parts if p["op"] != op).split() == text
+
+
+def test_halving_is_as_short_as_myers(monkeypatch):
+    import random
+
+    from revtrail.operators import diff
+
+    rng = random.Random(4)
+    monkeypatch.setattr(diff, "_BLOCK", 13)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(60))] for _ in range(2))
+        got, want = diff._halving(a, b), diff._script(a, b)
+        assert len(got) == len(want) and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
