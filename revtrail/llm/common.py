@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
-import os
+import re
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; lineage ends there."""
+    """Reliable checkpoint in the cluster's shared folder; lineage ends there.  Only a local master may do
+    without ``spark.checkpoint.dir``: elsewhere a folder of one machine would be lost with it."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/revtrail-{os.getuid()}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="revtrail-"))
     return df.checkpoint(eager=True)
 
 
@@ -45,16 +52,25 @@ def free_name(taken: Iterable[str], stem: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow where ``make`` builds the per-task function once (models, caches)."""
+def give_back() -> None:
+    """Returns freed memory of this worker process to the system: a reused worker would keep what its largest
+    task took, next to an executor whose heap does not shrink either."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not a GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
 
-    return df.mapInArrow(run, schema)
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, over slices of at most ``rows`` rows (an Arrow batch may hold 64 MB of texts, and as
+    Python objects a multiple of that), giving memory back at the end of the task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def crc32_mod(id_column: str, m: int):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII
+from .common import LOWER_ASCII, tidy
 
 #: Bytes that are no part of a word become a space; A-Z become a-z.
 _WORD_BYTES = bytes(LOWER_ASCII[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -94,9 +94,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     keep = [f for f in docs.schema if spans or f.name != text_col]
     state = docs.withColumn("_ranges", F.lit(None).cast("array<array<int>>")).withColumn("_items", F.lit(None).cast("array<string>"))
     for shard in shards[:-1]:
-        state = state.mapInArrow(_pass(shard, text_col, None, [f.name for f in state.schema], min_items, spans), state.schema)
+        state = state.mapInArrow(tidy(_pass(shard, text_col, None, [f.name for f in state.schema], min_items, spans)), state.schema)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"] + ["hit_spans array<array<int>>"] * spans)
-    return state.mapInArrow(_pass(shards[-1], text_col, [f.name for f in keep], [f.name for f in state.schema], min_items, spans), ddl)
+    return state.mapInArrow(tidy(_pass(shards[-1], text_col, [f.name for f in keep], [f.name for f in state.schema], min_items, spans)), ddl)
 
 
 def _pass(shard, text_col: str, final: list[str] | None, names: list[str], min_items: int, spans: bool):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free_name
+from .common import checkpoint, free_name, tidy
 from .url_filter import url_host
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -189,7 +189,7 @@ def host_templates(pages: DataFrame, min_pages: int = 3, min_share: float = 0.1)
                 rows += [(host, t, False, page, n) for t, n in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "structure", "page", "n"])
 
-    each = pages.select("host", "page", "html").mapInArrow(tokens, "host string, token long, structure boolean, page long, n long")
+    each = pages.select("host", "page", "html").mapInArrow(tidy(tokens), "host string, token long, structure boolean, page long, n long")
     vectors = each.groupBy("host", "token", "structure").agg(F.sum(F.col("page").cast("decimal(38,0)") * F.col("n")).alias("vector"), F.count(F.lit(1)).alias("pages"))
     classes = vectors.groupBy("host", "vector").agg(F.max("structure").alias("valid"), F.max("pages").alias("pages"), F.max(F.col("token") == 0).alias("root"), F.collect_set(F.when(~F.col("structure"), F.col("token"))).alias("texts")).where(F.col("valid") & (F.col("pages") >= min_pages))
     totals = vectors.where("token = 0 and structure").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"))
@@ -219,4 +219,4 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             texts = [main_text(h, frozenset(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")
+    return joined.mapInArrow(tidy(run), f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")

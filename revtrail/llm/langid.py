@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, free_name
+from .common import crc32_mod, free_name, tidy
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -106,7 +106,7 @@ def fit_prototypes(rows: DataFrame, text_col: str, lang_col: str, dimensions: in
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     out: dict[str, np.ndarray] = {}
-    for lang, v in rows.select(text_col, lang_col).mapInArrow(sums, "lang string, v array<double>").toLocalIterator():
+    for lang, v in rows.select(text_col, lang_col).mapInArrow(tidy(sums), "lang string, v array<double>").toLocalIterator():
         out[lang] = out.get(lang, 0) + np.array(v)
     return {k: _unit(out[k]).astype(np.float32) for k in sorted(out)}
 
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: list[s
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], names.take(pa.array(best)), pa.array(score.astype(np.float64))], names=[*keep, "lang_pred", "score"])
 
     chosen = docs.select(F.col(f"`{text_col}`").alias(free_name(keep, "_text")), *[F.col(f"`{c}`") for c in keep])
-    return chosen.mapInArrow(run, ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double"]))
+    return chosen.mapInArrow(tidy(run), ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double"]))
 
 
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_fold: int = 1, dimensions: int = 1024, sample: int = 50_000) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free_name
+from .common import checkpoint, free_name, tidy
 
 _TERM = re.compile(r"[a-z0-9]+")
 
@@ -116,7 +116,7 @@ def document_frequencies(files: DataFrame, text_col: str, vocabulary: set[str])
                     total.update(vocabulary.intersection(_TERM.findall(text.lower())))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-    rows = files.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect()
+    rows = files.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(count), "term string, n long").groupBy("term").agg(F.sum("n")).collect()
     found = dict(map(tuple, rows))
     return found.pop("", 0), found
 
@@ -136,7 +136,7 @@ def _with_matches(files: DataFrame, path_col: str, text_col: str, keep: list[str
 
     chosen = files.select(F.col(f"`{text_col}`").alias(free_name([*keep, "_path"], "_text")), *[F.col(f"`{c}`") for c in keep], F.col(f"`{path_col}`").cast("string").alias("_path"))
     ddl = ", ".join([f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep] + ["_path string, _own string, _score double, _line int, _whole string"])
-    return chosen.mapInArrow(run, ddl)
+    return chosen.mapInArrow(tidy(run), ddl)
 
 
 def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.75, file_threshold: float = 0.95) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, free_name
+from .common import blocks_for, free_name, tidy
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -80,9 +80,9 @@ def _packed(ids: list[int]) -> bytes:
 
 class WordEncoder:
     """Ids of texts under a tokenizer to which white space is a mere boundary: each white-space delimited piece
-    is encoded once and kept (up to about ``kept`` of them)."""
+    is encoded once and kept, until a cache holds more than ``kept`` (some 200 bytes each) and starts anew."""
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,12 +114,16 @@ class WordEncoder:
                 cache.clear()
         return list(map(self._one, texts))
 
+    def forget(self) -> None:
+        for cache in (self.latin, self.latin.parts, self.any):
+            cache.clear()
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder_for(path: str) -> WordEncoder:
-    """One encoder per worker process, so that its cache outlives a task."""
+    """One encoder per worker process: the vocabulary is read once, the caches are emptied with each task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -265,24 +269,25 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     def pieces(batches):
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = batch.column(0)
-            for at in range(0, batch.num_rows, 256):
+        try:
+            for batch in batches:
                 rows = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
-                for row, coded in enumerate(encoder.encode(batch.column(1).slice(at, 256).to_pylist()), at):
+                for row, coded in enumerate(encoder.encode(batch.column(1).to_pylist())):
                     coded += end
                     for p, start in enumerate(range(0, len(coded) // 4, capacity)):
                         part = coded[4 * start : 4 * (start + capacity)]
-                        for k, x in zip(rows, (row, p, start, len(part) // 4, zlib.crc32(part), part), strict=True):
+                        for k, x in zip(rows, (row, p, start, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
                             rows[k].append(x)
-                arrays = [ids.take(pa.array(rows["row"])), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()), pa.array(rows["crc"], pa.int64())]
+                arrays = [batch.column(0).take(pa.array(rows["row"])), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()), pa.array(rows["crc"], pa.int64())]
                 if with_ids:
                     arrays.append(pa.array(rows["ids"], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            encoder.forget()
 
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     ddl = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    cut = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias(free_name([id_col], "_text"))).mapInArrow(pieces, ddl)
+    cut = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias(free_name([id_col], "_text"))).mapInArrow(tidy(pieces, 256), ddl)
     salted = cut.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def place(key, table):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, free_name
+from .common import crc32_mod, free_name, tidy
 
 FEATURES = ("log_words", "word_length", "longest_word", "distinct_words", "top_word", "upper", "digit", "space", "letter_like", "period", "comma", "exclaim", "pipe", "bracket", "symbol", "other_mark", "lines", "line_length", "repeated_lines", "repeated_pairs", "capitals_at_start", "short_words")
 
@@ -148,7 +148,7 @@ def _with_features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=[*keep, "x"])
 
     chosen = df.select(F.col(f"`{text_col}`").alias(free_name(keep, "_text")), *[F.col(f"`{c}`") for c in keep])
-    return chosen.mapInArrow(run, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["x array<double>"]))
+    return chosen.mapInArrow(tidy(run), ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["x array<double>"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_fold: int = 2, sample: int = 40_000) -> AdditiveModel:
@@ -170,4 +170,4 @@ def score_quality(docs: DataFrame, model: AdditiveModel, *, keep: list[str], tex
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, score_col, predicted_col])
 
     chosen = docs.select(F.col(f"`{text_col}`").alias(free_name(keep, "_text")), *[F.col(f"`{c}`") for c in keep])
-    return chosen.mapInArrow(run, ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{score_col}` double, `{predicted_col}` int"]))
+    return chosen.mapInArrow(tidy(run), ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{score_col}` double, `{predicted_col}` int"]))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, blocks_for, checkpoint, free_name
+from .common import LOWER_ASCII, blocks_for, checkpoint, free_name, tidy
 from .components import components
 
 
@@ -60,7 +60,7 @@ def with_fingerprints(df: DataFrame, text_col: str, shingle: int, keep: list[str
 
     chosen = df.select(F.col(f"`{text_col}`").alias(free_name(keep, "_text")), *[F.col(f"`{c}`") for c in keep])
     ddl = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` long"])
-    return chosen.mapInArrow(run, ddl)
+    return chosen.mapInArrow(tidy(run), ddl)
 
 
 def hex16(fp: Column) -> Column:
@@ -193,7 +193,7 @@ def link_fingerprints(distinct: DataFrame, links: int = 4, *, per_shard: int = 1
         has = np.flatnonzero(at != np.arange(len(x)))
         return pa.table({"a": x[has].view(np.int64), "b": x[at[has]].view(np.int64)})
 
-    spread = distinct.select("fp").mapInArrow(dealt, "shard int, fp long, home boolean").repartition(count, "shard")
+    spread = distinct.select("fp").mapInArrow(tidy(dealt), "shard int, fp long, home boolean").repartition(count, "shard")
     return components(spread.groupBy("shard").applyInArrow(linked, "a long, b long"))
 
 
@@ -429,12 +429,12 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["key", "n", "f1", "f2", "sketch"])
 
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
-    each = keyed.mapInArrow(profiled, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, f1 long, f2 long, sketch binary")
+    each = keyed.mapInArrow(tidy(profiled), f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, f1 long, f2 long, sketch binary")
     texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "f1", "f2", "sketch")).alias("p")).select("key", "least", "p.*"))
     found = checkpoint(_links(texts, similarity, bits, block, False))
     undecided = found.where(F.col("b").isNull()).select(F.col("a").alias("key")).distinct()
     again = keyed.select("key", "text").join(undecided, "key", "left_semi").dropDuplicates(["key"])
-    edges = found.where(F.col("b").isNotNull()).unionByName(_links(checkpoint(again.mapInArrow(whole, "key string, n long, f1 long, f2 long, sketch binary")), similarity, bits, block, True))
+    edges = found.where(F.col("b").isNotNull()).unionByName(_links(checkpoint(again.mapInArrow(tidy(whole), "key string, n long, f1 long, f2 long, sketch binary")), similarity, bits, block, True))
     groups = components(edges)
     named = texts.select("key", "least").join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("group"))
     keepers = named.groupBy("group").agg(F.min("least").alias("keeper"))

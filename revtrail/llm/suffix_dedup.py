@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, checkpoint, shuffle_partitions
+from .common import blocks_for, checkpoint, shuffle_partitions, tidy
 
 _CHUNK = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -257,7 +257,7 @@ def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 2
     """(key, stretches array<struct<start, end>>): byte ranges covered by repeated windows, per distinct text
     that has any.  texts: key (MD5), raw (bytes)."""
     long_enough = texts.where(F.length("raw") >= window).select("key", "raw")
-    found = lambda: long_enough.mapInArrow(_find_runs(window), "key binary, place long, anchor long, whole long")
+    found = lambda: long_enough.mapInArrow(tidy(_find_runs(window), 512), "key binary, place long, anchor long, whole long")
     groups = found().groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1").select(F.col("anchor").alias("g"), (F.col("least") != F.col("most")).alias("mixed"))
     # Checkpointed, as all sides of joins on keys that can be hot: a plain exchange on both sides can be split.
     groups = checkpoint(groups)
@@ -278,11 +278,11 @@ def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 2
 
     def brought(large: bool) -> DataFrame:
         some = asked.select("key", F.filter("w", lambda x: x["large"] == large).alias("w")).where(F.size("w") > 0)
-        return long_enough.join(some, "key").select("key", "raw", "w").mapInArrow(_bring_bytes(window), schema)
+        return long_enough.join(some, "key").select("key", "raw", "w").mapInArrow(tidy(_bring_bytes(window), 512), schema)
 
-    parts_found = brought(False).repartition(parts, "anchor").mapInArrow(_index(window), "key binary, start long, end long")
+    parts_found = brought(False).repartition(parts, "anchor").mapInArrow(tidy(_index(window), 10_000), "key binary, start long, end long")
     if not kinds.where((F.col("fewest") == 1) & (F.col("distinct_runs") > group_limit)).isEmpty():
-        single = brought(True).dropDuplicates(["anchor", "whole"]).mapInArrow(_window_hashes(window), "key binary, start long, anchor long, back long, h1 long, h2 long, alone boolean")
+        single = brought(True).dropDuplicates(["anchor", "whole"]).mapInArrow(tidy(_window_hashes(window), 512), "key binary, start long, anchor long, back long, h1 long, h2 long, alone boolean")
         twice = single.groupBy("anchor", "back", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         parts_found = parts_found.unionByName(single.where("alone").join(twice, ["anchor", "back", "h1", "h2"]).select("key", "start", (F.col("start") + window).alias("end")))
     return checkpoint(whole.unionByName(parts_found).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("stretches")))
@@ -325,4 +325,4 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text",
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     ddl = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ["kept_text string"] * with_text)
-    return joined.mapInArrow(run, ddl)
+    return joined.mapInArrow(tidy(run), ddl)
