@@ -68,6 +68,13 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def unescape_html(c: Column) -> Column:
+    """The reverse of escape_html."""
+    for plain, safe in (('"', "&quot;"), (">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
+        c = F.replace(c, F.lit(safe), F.lit(plain))
+    return c
+
+
 def clean_email(c: Column) -> Column:
     """Trimmed and lower-cased; null unless well formed and at most 254 long."""
     e = F.lower(trim_ws(c))

@@ -6,6 +6,8 @@ threshold is defined on them; Java's defaults differ on each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,18 +23,13 @@ BULLETS = "\u2022\u00B7\u25CF\u25AA"
 SPACES = "\u00A0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u202F\u205F\u3000"
 INVISIBLE = "\u200B\u200C\u200D\uFEFF\u00AD"
 NEGATIONS = {
-    "not": "not cannot cant wont dont doesnt didnt isnt arent wasnt werent shant shouldnt wouldnt couldnt havent hasnt hadnt",
-    "no": "no none",
-    "never": "never",
-    "nor": "nor",
-    "neither": "neither",
-    "without": "without",
-    "unless": "unless",
-    "except": "except excluding",
-    "prohibited": "prohibited forbidden",
-    "unable": "unable",
-    "ineligible": "ineligible",
-}
+    "not": "not", "cannot": "not", "cant": "not", "wont": "not", "dont": "not", "doesnt": "not", "didnt": "not",
+    "isnt": "not", "arent": "not", "wasnt": "not", "werent": "not", "shant": "not", "shouldnt": "not",
+    "wouldnt": "not", "couldnt": "not", "havent": "not", "hasnt": "not", "hadnt": "not",
+    "no": "no", "none": "no", "never": "never", "nor": "nor", "neither": "neither", "without": "without",
+    "unless": "unless", "except": "except", "excluding": "except", "prohibited": "prohibited",
+    "forbidden": "prohibited", "unable": "unable", "ineligible": "ineligible",
+}
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
 ORDINAL = "(?:st|nd|rd|th)?"
 DATE_PATTERNS = (
@@ -46,8 +43,13 @@ ABBREVIATIONS = "e\\.g|i\\.e|etc|vs|no|inc|ltd|llc|co|corp|dept|approx|art|sec|p
 UNFINISHED = f"(?i)(?:{START}(?:{ABBREVIATIONS})\\.|{START}[A-Z]\\.|{START}[0-9]+\\.)$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def words(c: Column) -> Column:
@@ -75,12 +77,19 @@ def normalize_blocks(c: Column, separator: str = "\u0000") -> Column:
     return F.array_join(F.filter(blocks, lambda b: b != ""), "\n")
 
 
+_TYPOGRAPHIC = SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + BULLETS + SPACES + INVISIBLE
+_PLAIN = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES) + "*" * len(BULLETS) + " " * len(SPACES)
+
+
 def punctuation_normalize(c: Column) -> Column:
-    """Typographic variants folded to ASCII and white space tidied; case stays."""
-    c = F.translate(c, SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + BULLETS + SPACES + INVISIBLE, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES) + "*" * len(BULLETS) + " " * len(SPACES))
-    c = F.regexp_replace(c, "\u2026", "...")
-    c = F.regexp_replace(c, f"{WS}+([,;:.])", "$1")
-    return trim_ws(F.regexp_replace(c, f"{WS}+", " "))
+    """Typographic variants folded to ASCII and white space tidied; case stays.  Each replacement runs only where
+    a plain search finds something to replace."""
+    fold = lambda x: F.replace(F.translate(x, _TYPOGRAPHIC, _PLAIN), F.lit("\u2026"), F.lit("..."))
+    plain = lambda x: ((F.octet_length(x) == F.char_length(x)) & ~F.contains(x, F.lit("`"))) | ~x.rlike(f"[{_TYPOGRAPHIC}\u2026]")
+    c = let(c, lambda x: F.when(plain(x), x).otherwise(fold(x)))
+    c = let(c, lambda x: F.when(x.rlike(f"{WS}[,;:.]"), F.regexp_replace(x, f"{WS}+([,;:.])", "$1")).otherwise(x))
+    uneven = f"{WS}{WS}|[{WS_CHARS.replace(' ', '')}]"
+    return trim_ws(let(c, lambda x: F.when(x.rlike(uneven), F.regexp_replace(x, f"{WS}+", " ")).otherwise(x)))
 
 
 def date_normalize(c: Column) -> Column:
@@ -89,16 +98,12 @@ def date_normalize(c: Column) -> Column:
     return c
 
 
-def _negation_map() -> Column:
-    pairs = [(w, canonical) for canonical, forms in NEGATIONS.items() for w in forms.split()]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-
-
 def negations(c: Column) -> Column:
     """Sorted canonical negation words of a text, repeats included."""
-    plain = F.transform(words(c), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
-    known = [w for forms in NEGATIONS.values() for w in forms.split()]
-    return F.array_sort(F.transform(F.filter(plain, lambda w: w.isin(known)), lambda w: F.element_at(_negation_map(), w)))
+    letters = F.regexp_replace(F.lower(c), f"(?:(?!{WS})[^a-z])+", "")
+    found = F.filter(F.split(letters, f"{WS}+"), lambda w: w.isin(list(NEGATIONS)))
+    canonical = F.create_map(*[F.lit(x) for pair in NEGATIONS.items() for x in pair])
+    return F.array_sort(F.transform(found, lambda w: F.element_at(canonical, w)))
 
 
 def negation_counts(c: Column) -> Column:

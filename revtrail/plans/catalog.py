@@ -1,106 +1,82 @@
-"""Registry of the engine's queries and of their SQL counterparts."""
+"""Queries over texts, revision state, views and policy, with their SQL counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revtrail import schemas
 from revtrail.functions import formatting as fmt
 from revtrail.functions import text as X
-from revtrail.operators import classify, diff, extract, policy, state
+from revtrail.operators import classify, policy, state
 from revtrail.plans import crawl, derived, views
+from revtrail.plans.registry import ORACLES, QUERIES, TRIM, WS, B, base, query, revisions, sql_words
+from revtrail.sources import landed, sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-_D = derived.CTE["duckdb"]
-
-
-def query(oracle: str | None = None, derive: bool = True):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = f"{_D} {oracle}" if derive else oracle
-        return f
-
-    return add
-
-
-def _base(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").isNotNull()).select("doc_id", "text")
-
-
-def _revisions(spark: SparkSession, d: str) -> DataFrame:
-    return derived.relation(spark, d, "revisions")
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # ---- scalar functions over texts -------------------------------------------------------------------------
 
-_WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-_TRIM = rf"regexp_replace(%s, '^{_WS}+|{_WS}+$', '', 'g')"
-_B = "(^|[^A-Za-z0-9_])"
-
-
-def _sql_words(c: str) -> str:
-    t = _TRIM % c
-    return f"CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split_regex({t}, '{_WS}+') END"
-
-
 def _sql_punctuation(c: str) -> str:
     fold = X.SINGLE_QUOTES + X.DOUBLE_QUOTES + X.DASHES + X.BULLETS + X.SPACES
     to = "''" * len(X.SINGLE_QUOTES) + '"' * len(X.DOUBLE_QUOTES) + "-" * len(X.DASHES) + "*" * len(X.BULLETS) + " " * len(X.SPACES)
     c = f"replace(translate({c}, '{fold}{X.INVISIBLE}', '{to}'), '…', '...')"
-    c = rf"regexp_replace({c}, '{_WS}+([,;:.])', '\1', 'g')"
-    return _TRIM % f"regexp_replace({c}, '{_WS}+', ' ', 'g')"
+    c = rf"regexp_replace({c}, '{WS}+([,;:.])', '\1', 'g')"
+    return TRIM % f"regexp_replace({c}, '{WS}+', ' ', 'g')"
 
 
-_NEG = "CASE regexp_replace(lower(x), '[^a-z]', '', 'g') " + " ".join(f"WHEN '{w}' THEN '{k}'" for k, ws in X.NEGATIONS.items() for w in ws.split()) + " END"
+_NEG = "CASE regexp_replace(lower(x), '[^a-z]', '', 'g') " + " ".join(f"WHEN '{w}' THEN '{k}'" for w, k in X.NEGATIONS.items()) + " END"
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL", derive=False)
 def content_hash(spark, d):
-    return _base(spark, d).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return base(spark, d).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query(f"SELECT doc_id, CAST(len({_sql_words('text')}) AS INTEGER) AS n_words FROM documents WHERE text IS NOT NULL", derive=False)
+@query(f"SELECT doc_id, CAST(len({sql_words('text')}) AS INTEGER) AS n_words FROM documents WHERE text IS NOT NULL", derive=False)
 def word_count(spark, d):
-    return _base(spark, d).select("doc_id", X.count_words(F.col("text")).alias("n_words"))
+    return base(spark, d).select("doc_id", X.count_words(F.col("text")).alias("n_words"))
 
 
 @query(f"SELECT document_id, rev, sha256({_sql_punctuation('extracted_text')}) AS normal_hash FROM revisions")
 def punct_normalize(spark, d):
-    return _revisions(spark, d).select("document_id", "rev", X.content_hash(X.punctuation_normalize(F.col("extracted_text"))).alias("normal_hash"))
+    return revisions(spark, d).select("document_id", "rev", X.content_hash(X.punctuation_normalize(F.col("extracted_text"))).alias("normal_hash"))
 
 
-_DATED = "extracted_text"
+_FORMS = ["2025-06-07", "7/6/2025", "June 7, 2025", "7 June 2025", "JUNE 2025", "7th jun. 2025", "7.6.25", "v1.7.6.25x", "May 2025 and Sept. 3rd 2024"]
+_FORM = "CASE CAST(document_id AS BIGINT) % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FORMS)) + " END"
+_DATED = f"concat(extracted_text, ' Dated ', {_FORM}, '.')"
 for _pattern in X.DATE_PATTERNS:
-    _DATED = f"regexp_replace({_DATED}, '{_pattern.replace(X.START, chr(92) + 'b').replace(X.END, chr(92) + 'b').replace(X.WS, _WS)}', '@date', 'g')"
+    _DATED = f"regexp_replace({_DATED}, '{_pattern.replace(X.START, chr(92) + 'b').replace(X.END, chr(92) + 'b').replace(X.WS, WS)}', '@date', 'g')"
 
 
 @query(f"SELECT document_id, rev, sha256({_DATED}) AS dated_hash FROM revisions")
 def date_normalize(spark, d):
-    return _revisions(spark, d).select("document_id", "rev", X.content_hash(X.date_normalize(F.col("extracted_text"))).alias("dated_hash"))
+    dated = F.expr(f"concat(extracted_text, ' Dated ', {_FORM}, '.')")
+    return revisions(spark, d).select("document_id", "rev", X.content_hash(X.date_normalize(dated)).alias("dated_hash"))
 
 
-@query(f"SELECT document_id, rev, array_to_string(list_sort(list_filter(list_transform({_sql_words('extracted_text')}, lambda x: {_NEG}), lambda y: y IS NOT NULL)), ',') AS negations FROM revisions")
+@query(f"SELECT document_id, rev, array_to_string(list_sort(list_filter(list_transform({sql_words('extracted_text')}, lambda x: {_NEG}), lambda y: y IS NOT NULL)), ',') AS negations FROM revisions")
 def negation_counts(spark, d):
-    return _revisions(spark, d).select("document_id", "rev", F.array_join(X.negations(F.col("extracted_text")), ",").alias("negations"))
+    return revisions(spark, d).select("document_id", "rev", F.array_join(X.negations(F.col("extracted_text")), ",").alias("negations"))
 
 
-_SCORES = ", ".join(f"CAST({' + '.join('CAST(regexp_matches(text, %r) AS INTEGER)' % ('(?i)' + (_B if p.startswith(chr(92) + 'b') else '') + p.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b') + ('([^A-Za-z0-9_]|$)' if p.endswith(chr(92) + 'b') else '')) for p in patterns)} AS INTEGER) AS \"{tag}\"" for tag, _, patterns in classify.TAG_RULES).replace("\\\\", "\\")
+_SCORES = ", ".join(f"CAST({' + '.join('CAST(regexp_matches(text, %r) AS INTEGER)' % ('(?i)' + (B if p.startswith(chr(92) + 'b') else '') + p.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b') + ('([^A-Za-z0-9_]|$)' if p.endswith(chr(92) + 'b') else '')) for p in patterns)} AS INTEGER) AS \"{tag}\"" for tag, _, patterns in classify.TAG_RULES).replace("\\\\", "\\")
 
 
 @query(f"SELECT document_id, rev, {_SCORES} FROM (SELECT document_id, rev, extracted_text AS text FROM revisions)")
 def tag_scores(spark, d):
-    scored = _revisions(spark, d).withColumn("s", classify.tag_scores(F.col("extracted_text")))
+    scored = revisions(spark, d).withColumn("s", classify.tag_scores(F.col("extracted_text")))
     score = lambda tag: F.coalesce(F.get(F.filter("s", lambda t: t["tag"] == tag), F.lit(0))["score"], F.lit(0)).alias(tag)
     return scored.select("document_id", "rev", *[score(tag) for tag, _, _ in classify.TAG_RULES])
 
 
-@query("SELECT document_id, rev, array_to_string(regexp_extract_all(extracted_text, '[0-9][0-9,.]*[ \\n]*(days?|weeks?|months?|years?|percent|usd|eur|gbp)\\b'), '|') AS quantities FROM revisions")
+_FIGURES = "concat('Pay ', n, '%x or US$', n % 90, '.50 and ', n % 13, ' weeks, ', n % 7, '% off and $5; a€', n, ' then ', n % 28, ' Percent or ', n, 'days')"
+
+
+@query("SELECT document_id, rev, concat(n, '%|$', n % 90, '.50|', n % 13, ' weeks|€', n, '|', n % 28, ' Percent|', n, 'days') AS quantities FROM (SELECT document_id, rev, CAST(document_id AS BIGINT) AS n FROM revisions)")
 def quantities(spark, d):
-    return _revisions(spark, d).select("document_id", "rev", F.array_join(classify.quantities(F.col("extracted_text")), "|").alias("quantities"))
+    numbered = revisions(spark, d).select("document_id", "rev", F.col("document_id").cast("long").alias("n"))
+    return numbered.select("document_id", "rev", F.array_join(classify.quantities(F.expr(_FIGURES)), "|").alias("quantities"))
 
 
 @query("SELECT doc_id, CASE WHEN r = 0 THEN '0%' WHEN r < 0.001 THEN '<0.1%' WHEN r < 0.01 THEN concat(CAST(CAST(round(r * 100, 1) AS DECIMAL(9, 1)) AS VARCHAR), '%') ELSE concat(CAST(CAST(floor(r * 100 + 0.5) AS BIGINT) AS VARCHAR), '%') END AS percent, concat(CAST(doc_id % 3 AS VARCHAR), CASE WHEN doc_id % 3 = 1 THEN ' change' ELSE ' changes' END) AS counted, upper(substr(source, 1, 1)) AS monogram, CASE doc_id % 7 WHEN 1 THEN 'Editorial' WHEN 2 THEN 'Minor' WHEN 3 THEN 'Notable' WHEN 4 THEN 'Significant' WHEN 5 THEN 'Major' ELSE 'Unrated' END AS label FROM (SELECT doc_id, source, CAST(doc_id % 4000 AS DOUBLE) / 8192 / (1 + 31 * (doc_id % 2)) AS r FROM documents)", derive=False)
@@ -115,10 +91,46 @@ def format_dates(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", fmt.format_date(F.col("o_orderdate")).alias("day"), fmt.format_date_time(F.col("o_orderdate")).alias("moment"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('user', CAST(user_id AS VARCHAR), '@example.com') END AS email FROM events", derive=False)
+#: An address by id modulo 9, and whether it is well formed.
+_ADDRESSES = [("user%s@@example.com", False), ("  User%s@Example.COM ", True), ("a.b+c'd_%s@sub.example.co", True), (".lead%s@example.com", False), ("two words%s@example.com", False), ("x%s@localhost", False), ("x%s@ex-ample.io", True), ("x%s@-example.com", False), ("dots..%s@example.com", False)]
+_ADDRESS = "CASE event_id % 9 " + " ".join("WHEN {} THEN concat('{}', user_id, '{}')".format(i, *a.replace("'", "''").split("%s")) for i, (a, _) in enumerate(_ADDRESSES)) + " END"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 9 IN ({', '.join(str(i) for i, (_, ok) in enumerate(_ADDRESSES) if ok)}) THEN lower(trim({_ADDRESS})) END AS email FROM events", derive=False)
 def email_validation(spark, d):
-    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("user"), F.col("user_id"), F.lit("@@example"))).otherwise(F.concat(F.lit("  User"), F.col("user_id"), F.lit("@Example.COM ")))
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fmt.clean_email(raw).alias("email"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fmt.clean_email(F.expr(_ADDRESS.replace("''", "\\'"))).alias("email"))
+
+
+@query("SELECT event_id, event_id % 4 < 2 AS token_ok, length(repeat('s', event_id % 100)) BETWEEN 1 AND 80 AS slug_ok FROM events", derive=False)
+def token_and_slug(spark, d):
+    n = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    token = F.when(F.col("event_id") % 4 < 2, F.concat(F.lit("0a1B2c3d-0000-4000-8000-"), n)).when(F.col("event_id") % 4 == 2, F.concat(F.lit("0a1B2c3d-0000-4000-800g-"), n)).otherwise(F.concat(F.lit("0a1B2c3d000040008000"), n))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fmt.valid_token(token).alias("token_ok"), fmt.valid_slug(F.repeat(F.lit("s"), (F.col("event_id") % 100).cast("int"))).alias("slug_ok"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN r > 0 AND r <= 50 THEN floor(r) ELSE 10 END AS INTEGER) AS run_limit, CAST(CASE WHEN event_id % 5 = 0 THEN 0 WHEN r > 10 THEN 10 ELSE greatest(r, 0) END AS DOUBLE) AS pause FROM (SELECT event_id, CAST(event_id % 130 AS DOUBLE) / 2 - 5 AS r FROM events)", derive=False)
+def run_limits(spark, d):
+    r = (F.col("event_id") % 130).cast("double") / 2 - 5
+    delay = F.when(F.col("event_id") % 5 != 0, F.greatest(r, F.lit(0.0)))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", policy.run_limits(r).alias("run_limit"), policy.crawl_pause(delay).alias("pause"))
+
+
+_OUTCOME = "CASE WHEN k = 0 THEN 'timeout' WHEN k = 1 THEN 'no response' WHEN k = 2 THEN 'HTTP 404 Not Found' WHEN k = 3 THEN 'HTTP 301 ' WHEN k = 4 THEN 'unsupported content-type application/pdf' WHEN k = 5 THEN 'unsupported content-type image/png' END"
+
+
+@query(f"SELECT event_id, {_OUTCOME} AS failure FROM (SELECT event_id, event_id % 10 AS k FROM events)", derive=False)
+def http_outcomes(spark, d):
+    k = F.col("event_id") % 10
+    pick = lambda **by: F.element_at(F.create_map(*[x for i, v in by.items() for x in (F.lit(int(i[1:])).cast("long"), F.lit(v))]), k)
+    status, words = F.coalesce(F.when(k == 1, None).otherwise(F.coalesce(pick(_2=404, _3=301, _6=204), F.lit(200)))), pick(_2="Not Found")
+    kind = F.when(k == 9, None).otherwise(F.coalesce(pick(_4="application/pdf", _5="image/png", _6="TEXT/HTML; charset=x", _7="application/xhtml+xml", _8=""), F.lit("text/plain")))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", policy.http_error(status, words, kind, F.when(k == 0, "timeout")).alias("failure"))
+
+
+@query("SELECT id, CASE type WHEN 'tos' THEN 'Terms of Service' ELSE 'Privacy Policy' END AS label, CASE WHEN n > 110 THEN 46 WHEN n > 70 THEN 54 ELSE 64 END AS size, CASE WHEN n % 2 = 0 THEN 'Pricing' ELSE NULL END AS tag FROM (SELECT id, type, CAST(id AS BIGINT) % 150 AS n FROM docs)")
+def card_labels(spark, d):
+    n = (F.col("id").cast("long") % 150).cast("int")
+    return derived.relation(spark, d, "docs").select("id", fmt.document_label(F.col("type")).alias("label"), fmt.headline_size(F.repeat(F.lit("é"), n)).alias("size"), fmt.tag_label(F.when(n % 2 == 0, "pricing").otherwise("legacy")).alias("tag"))
 
 
 # ---- revision state --------------------------------------------------------------------------------------
@@ -128,7 +140,7 @@ _STATUS = "SELECT document_id, rev, CASE WHEN before IS NULL THEN 'baseline' WHE
 
 @query(f"SELECT company_id, status, count(*) AS versions FROM ({_STATUS}) s JOIN docs ON docs.id = s.document_id GROUP BY ALL")
 def change_status(spark, d):
-    narrow = _revisions(spark, d).select("document_id", "fetched_at", X.content_hash(F.col("extracted_text")).alias("content_hash"))
+    narrow = revisions(spark, d).select("document_id", "fetched_at", X.content_hash(F.col("extracted_text")).alias("content_hash"))
     docs = derived.relation(spark, d, "docs").select(F.col("id").alias("document_id"), "company_id")
     return state.revision_status(narrow).join(docs, "document_id").groupBy("company_id", "status").agg(F.count(F.lit(1)).alias("versions"))
 
@@ -213,7 +225,7 @@ def unsubscribe_by_token(spark, d):
     return state.unsubscribe(subs, requests).select("id", "unsubscribed_at")
 
 
-@query(f"SELECT c.id AS change_id, s.email, s.unsubscribe_token, o.name AS company_name, d.type AS document_type, replace(replace(replace(coalesce(c.headline, 'A change was detected'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS headline, coalesce(c.summary, '') AS summary FROM {_CDO} JOIN {_SUBS} s ON s.company_id = d.company_id WHERE c.published AND c.notified_at IS NULL AND s.unsubscribed_at IS NULL AND c.detected_at % 17 <> 0 AND c.detected_at % 50 = 3")
+@query(f"SELECT c.id AS change_id, s.email, s.unsubscribe_token, o.name AS company_name, d.type AS document_type, replace(replace(replace(coalesce(c.headline, 'A change was detected'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS headline, coalesce(c.summary, '') AS summary FROM {_CDO} JOIN {_SUBS} s ON s.company_id = d.company_id WHERE c.published AND c.notified_at IS NULL AND s.unsubscribed_at IS NULL AND c.detected_at % 17 <> 0")
 def recipients(spark, d):
     t = derived.tables(spark, d)
     ledger = t.changes.where("detected_at % 17 = 0").select(F.col("id").alias("change_id"))
@@ -272,66 +284,116 @@ def robots_allowed(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", policy.is_allowed(rules, F.col("url")).alias("allowed"))
 
 
-# ---- documents -------------------------------------------------------------------------------------------
 
 
-@query()
-def html_text(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", extract.extract_content(F.col("html")).alias("x"))
-    return pages.select("page_id", "x.title", F.col("x.extracted_text").alias("extracted_text"), X.content_hash(F.col("x.extracted_text")).alias("content_hash"))
+#: A robots file by page id modulo 6.
+_ROBOTS = [
+    "User-agent: *\nDisallow: /en/\nAllow: /en/2\nCrawl-delay: 3",
+    "User-agent: other\nDisallow: /\n\nUser-agent: REVTRAIL # us\nUser-agent: third\nDisallow: /fr/\nCrawl-delay: 12\n\nUser-agent: *\nDisallow: /",
+    "User-agent: revtrail\nDisallow:\n\nUser-agent: *\nDisallow: /de",
+    "# nothing binds\nDisallow: /\nUser-agent: other\nDisallow: /",
+    "User-agent: *\nDisallow: /*?page=\nDisallow: /es/*1$\nCrawl-delay: soon",
+    "",
+]
+_FITS = {"0": "starts_with(p, '/en/2') OR NOT starts_with(p, '/en/')", "1": "NOT starts_with(p, '/fr/')", "2": "NOT starts_with(p, '/de')", "4": "NOT (contains(p, '?page=') OR (starts_with(p, '/es/') AND ends_with(p, '1')))"}
+
+
+@query(f"SELECT page_id, CASE page_id % 6 {' '.join(f'WHEN {k} THEN {v}' for k, v in _FITS.items())} ELSE true END AS allowed, CAST(CASE page_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 12 END AS DOUBLE) AS crawl_delay FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS p FROM pages)", derive=False)
+def robots_files(spark, d):
+    body = F.element_at(F.array(*map(F.lit, _ROBOTS)), (F.col("page_id") % 6 + 1).cast("int"))
+    parsed = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", policy.robots_rules(body).alias("r"))
+    return parsed.select("page_id", policy.is_allowed(F.col("r.rules"), F.col("url")).alias("allowed"), F.col("r.crawl_delay").cast("double").alias("crawl_delay"))
+
+
+_HOST = "regexp_extract(source_url, '^https://([^/]*)', 1)"
+
+
+@query(f"""SELECT id, CASE WHEN n % 10 = 1 THEN 'blocked-host' WHEN n % 10 = 2 THEN 'error' WHEN k > 1 THEN 'domain-already-fetched' WHEN ends_with(host, ':8443') OR n % 2 = 1 THEN 'robots-disallowed' END AS skip_reason
+FROM (SELECT *, row_number() OVER (PARTITION BY host, n % 10 IN (1, 2) ORDER BY last_checked_at NULLS FIRST, id) AS k FROM (SELECT id, last_checked_at, CAST(id AS BIGINT) AS n, {_HOST} AS host FROM docs))""")
+def admitted(spark, d):
+    docs = derived.relation(spark, d, "docs")
+    n = F.col("id").cast("long")
+    due = docs.withColumn("source_url", F.when(n % 10 == 1, F.concat(F.lit("http://10.0.0.1/"), "id")).when(n % 10 == 2, F.concat(F.lit("no url "), "id")).otherwise(F.concat("source_url", F.when(n % 2 == 1, "/odd").otherwise(""))))
+    hosts = docs.select(F.regexp_extract("source_url", "^(https://[^/]*)", 1).alias("origin")).distinct()
+    robots = hosts.select("origin", F.when(F.col("origin").endswith(":8443"), 503).otherwise(200).alias("http_status"), F.lit(None).cast("string").alias("error"), F.lit("User-agent: *\nDisallow: /*/odd$").alias("body"))
+    return crawl.admit(due, robots).select("id", "skip_reason")
+
+
+# ---- state and sinks -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT slug FROM docs d JOIN companies o ON d.company_id = o.id WHERE d.id = '{derived.CHANGE.split('-')[0]}'")
+def company_of_document(spark, d):
+    return views.company_of_document(derived.tables(spark, d), derived.CHANGE.split("-")[0])
+
+
+@query(f"SELECT d.id, type, source_url, d.last_checked_at, o.id AS company_id, slug AS company_slug, name AS company_name FROM docs d JOIN companies o ON company_id = o.id WHERE d.id = '{derived.CHANGE.split('-')[0]}'")
+def due_document(spark, d):
+    return views.due_batch(derived.tables(spark, d), document_id=derived.CHANGE.split("-")[0])
+
+
+@query("SELECT id, company_id, type, CASE WHEN type = 'tos' AND length(company_id) = 4 THEN concat('https://new.example/', company_id) ELSE source_url END AS source_url FROM (SELECT min(id) AS id, company_id, type, min(source_url) AS source_url FROM docs GROUP BY company_id, type) UNION ALL SELECT 'new', 'newco', 'privacy', 'https://new.example/p'")
+def upsert_documents(spark, d):
+    current = derived.relation(spark, d, "docs").groupBy("company_id", "type").agg(F.min("id").alias("id"), F.min("source_url").alias("source_url")).select("id", "company_id", "type", "source_url")
+    some = current.where("type = 'tos' and length(company_id) = 4").select(F.lit("ignored").alias("id"), "company_id", "type", F.concat(F.lit("https://new.example/"), "company_id").alias("source_url"))
+    new = spark.range(1).select(F.lit("new").alias("id"), F.lit("newco").alias("company_id"), F.lit("privacy").alias("type"), F.lit("https://new.example/p").alias("source_url"))
+    return state.upsert(current, some.unionByName(new), ["company_id", "type"], ["source_url"])
+
 
+@query("SELECT o.id, coalesce(max(2000000 + CAST(d.id AS BIGINT)) FILTER (WHERE CAST(d.id AS BIGINT) % 3 = 2), any_value(o.last_checked_at)) AS last_checked_at FROM companies o LEFT JOIN docs d ON d.company_id = o.id GROUP BY o.id")
+def company_clocks(spark, d):
+    docs = derived.relation(spark, d, "docs")
+    n = F.col("id").cast("long")
+    outcomes = docs.select(F.col("id").alias("document_id"), F.when(n % 3 == 0, "skipped").when(n % 3 == 1, "error").otherwise("unchanged").alias("status"), (n + 2000000).alias("at"))
+    return state.company_clocks(derived.relation(spark, d, "companies"), docs, outcomes).select("id", "last_checked_at")
+
+
+_VOCABULARY = ", ".join(f"'{t}'" for t in schemas.TAGS)
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every revision whose text differs from its predecessor's."""
-    r = _revisions(spark, d)
-    a, b = r.select("document_id", (F.col("rev") + 1).alias("rev"), F.col("extracted_text").alias("before")), r.select("document_id", "rev", F.col("extracted_text").alias("after"))
-    return a.join(b, ["document_id", "rev"]).where("before <> after")
 
+@query(f"SELECT id FROM changes WHERE (severity IS NULL OR severity * 2 - 3 BETWEEN 1 AND 5) AND len(list_filter(tags, lambda t: t NOT IN ({_VOCABULARY}))) = 0")
+def valid_changes(spark, d):
+    return sinks.valid_changes(derived.relation(spark, d, "changes").withColumn("severity", F.col("severity") * 2 - 3)).select("id")
 
-@query()
-def sentences(spark, d):
-    return _base(spark, d).select("doc_id", F.size(X.split_sentences(F.col("text"))).alias("n_sentences"), X.first_sentences(F.col("text"), 2).alias("lead"))
 
+@query(f"SELECT id, array_to_string(list_filter(tags, lambda t: t IN ({_VOCABULARY})), ',') AS known, array_to_string(list_filter(list_concat(tags, ['arbitration', 'x', 'jurisdiction']), lambda t: t IN ({_VOCABULARY}))[1:3], ',') AS first_three FROM changes")
+def known_tags(spark, d):
+    more = F.concat("tags", F.array(F.lit("arbitration"), F.lit("x"), F.lit("jurisdiction")))
+    return derived.relation(spark, d, "changes").select("id", F.array_join(fmt.known_tags(F.col("tags")), ",").alias("known"), F.array_join(fmt.known_tags(more, 3), ",").alias("first_three"))
 
-@query()
-def diff_hunks(spark, d):
-    return diff.with_diff(_pairs(spark, d), "before", "after").select("document_id", "rev", F.explode("hunks").alias("h")).select("document_id", "rev", "h.*")
 
+@query("SELECT DISTINCT company_id AS company_slug FROM changes c JOIN docs d ON c.document_id = d.id WHERE c.published")
+def to_revalidate(spark, d):
+    docs = derived.relation(spark, d, "docs").select(F.col("id").alias("document_id"), F.col("company_id").alias("company_slug"))
+    return crawl.to_revalidate(derived.relation(spark, d, "changes").join(docs, "document_id"))
 
-@query()
-def cosmetic_verdict(spark, d):
-    out = diff.with_diff(_pairs(spark, d), "before", "after")
-    return out.select("document_id", "rev", "stats.*", "cosmetic", "cosmetic_reason", F.size("hunks").alias("n_hunks"))
 
+_RAW = "coalesce(c.headline, 'A change was detected')"
+_ESCAPED = "replace(replace(replace(%s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
-def _summaries(spark: SparkSession, d: str) -> DataFrame:
-    out = diff.with_diff(_pairs(spark, d), "before", "after").where("not cosmetic")
-    named = out.join(derived.relation(spark, d, "docs").select(F.col("id").alias("document_id"), F.col("type").alias("document_type"), F.col("company_id").alias("company_name")), "document_id").withColumn("document_title", F.lit(None).cast("string"))
-    return classify.summarize_heuristically(named)
+
+@query(f"""SELECT change_id, "to", concat(company_name, ': ', headline) AS subject, concat('<h2>', {_ESCAPED % 'headline'}, '</h2><p>', {_ESCAPED % 'summary'}, '</p><p><a href="https://x.example/change/', change_id, '">See the change</a></p><p><a href="https://x.example/unsubscribe/', token, '">Stop these mails about ', company_name, '</a></p>') AS html,
+  concat(headline, chr(10), chr(10), summary, chr(10), chr(10), 'Change: https://x.example/change/', change_id, chr(10), 'Unsubscribe: https://x.example/unsubscribe/', token) AS text
+FROM (SELECT c.id AS change_id, s.email AS "to", s.unsubscribe_token AS token, o.name AS company_name, {_RAW} AS headline, coalesce(c.summary, '') AS summary FROM {_CDO} JOIN {_SUBS} s ON s.company_id = d.company_id WHERE c.published AND c.notified_at IS NULL AND s.unsubscribed_at IS NULL AND c.detected_at % 17 <> 0)""")
+def mails(spark, d):
+    t = derived.tables(spark, d)
+    return sinks.notifications(views.recipients(t, t.changes.where("detected_at % 17 = 0").select(F.col("id").alias("change_id"))), "https://x.example/")
 
 
-@query()
-def heuristic_summary(spark, d):
-    return _summaries(spark, d).select("document_id", "rev", "headline", "summary", "user_impact", "severity", F.array_join("tags", ",").alias("tags"), "confidence", classify.should_publish(F.col("confidence")).alias("publish"), classify.valid_summary().alias("valid"))
+@query(f"""SELECT s.id AS subscription_id, s.email AS "to", concat('Watching ', o.name) AS subject, concat('<p>A mail will follow whenever <strong>', o.name, '</strong> changes its terms or its privacy policy.</p><p><a href="https://x.example/company/', o.slug, '">What changed so far</a></p><p><a href="https://x.example/unsubscribe/', unsubscribe_token, '">Unsubscribe</a></p>') AS html,
+  concat('A mail will follow whenever ', o.name, ' changes its terms or its privacy policy.', chr(10), chr(10), 'Timeline: https://x.example/company/', o.slug, chr(10), 'Unsubscribe: https://x.example/unsubscribe/', unsubscribe_token) AS text FROM {_SUBS} s JOIN companies o ON s.company_id = o.id""")
+def confirmation_mails(spark, d):
+    t = derived.tables(spark, d)
+    return sinks.confirmations(t.subscriptions, t.companies, "https://x.example")
 
 
-@query()
-def summary_prompt(spark, d):
-    s = _summaries(spark, d)
-    return s.select("document_id", "rev", classify.user_prompt(s).alias("prompt"))
+_SEED = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in landed.SEED)
 
 
-@query()
-def diff_segments(spark, d):
-    out = _pairs(spark, d).withColumn("parts", diff.word_diff(F.col("before"), F.col("after")))
-    return out.select("document_id", "rev", F.explode(diff.view_segments(F.col("parts"), "after")).alias("s")).select("document_id", "rev", "s.*")
+@query(f"SELECT slug, name, concat('https://www.google.com/s2/favicons?domain=', domain, '&sz=128') AS logo_url, type, CASE type WHEN 'tos' THEN tos ELSE privacy END AS source_url FROM (VALUES {_SEED}) s(slug, name, domain, tos, privacy), (VALUES ('tos'), ('privacy')) k(type)", derive=False)
+def seed_list(spark, d):
+    companies, documents = landed.seed(spark)
+    return documents.join(companies.select(F.col("id").alias("company_id"), "slug", "name", "logo_url"), "company_id").select("slug", "name", "logo_url", "type", "source_url")
 
 
-@query()
-def crawl_report(spark, d):
-    r = _revisions(spark, d)
-    page = F.concat(F.lit("<html><head><title>T</title></head><body><nav>menu</nav><article><p>"), F.replace(fmt.escape_html(F.col("extracted_text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>"))
-    status = F.when((F.col("rev") == 2) & (F.col("document_id").cast("long") % 10 == 0), 500).otherwise(200)
-    fetches = r.select("document_id", F.lit("https://x.example/").alias("url"), status.alias("http_status"), F.lit("").alias("status_text"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("error"), page.alias("html"), "fetched_at")
-    docs = derived.relation(spark, d, "docs").select("id", "type", F.col("company_id").alias("company_slug"), F.col("company_id").alias("company_name"))
-    return crawl.report(crawl.run(docs, fetches).outcomes)
+from revtrail.plans import catalog_changes as _changes  # noqa: E402, F401  registers its queries

@@ -1,5 +1,4 @@
-"""The engine's tables derived from the standard test tables, by SQL that Spark and DuckDB read alike.  ``DOCS`` is
-DuckDB's alone: it leaves out texts under 200 characters, which the queries here do not.
+"""The engine's tables derived from the standard test tables, by SQL that Spark and DuckDB read alike.
 
 The test tables hold no revisions.  A document's first version is its text and a fixed clause; the second
 changes the clause in one of six ways by id; the third is the first again.  A company is a source.  Unlike in
@@ -12,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtrail.plans.views import Tables
+from revtrail.sources.landed import spread
 
-CLAUSE = 'We do not sell your data to partners. Records are kept for 12 months after you close your account. Data is shared with vendors, partners, auditors. The "Service" is provided as is. Last updated: 4 February 2026.'
+CLAUSE = 'These terms apply to every visitor. They replace all earlier ones. Your records are never handed to advertisers. Backups are retained and stored for 90 days before deletion. Reports reach auditors, insurers, couriers. The "Portal" is offered as a courtesy. Effective 7 June 2025.'
 #: What the second version replaces, by id modulo 6 (0: nothing).
-EDITS = {1: ("4 February 2026", "11 March 2026"), 2: ('"Service"', "“Service”"), 3: ("We do not sell", "We do sell"), 4: ("vendors, partners, auditors.", "auditors, partners, vendors."), 5: ("12 months", "36 months")}
+EDITS = {1: ("7 June 2025", "19 August 2025"), 2: ('"Portal"', "“Portal”"), 3: ("are never handed", "are handed"), 4: ("auditors, insurers, couriers", "couriers, insurers, auditors"), 5: ("90 days", "45 days")}
 COMPANY = "src3"
 CHANGE = "113-2"
 
-DOCS = "SELECT doc_id, text, source FROM documents WHERE n_chars >= 200 AND text IS NOT NULL"
+DOCS = "SELECT doc_id, text, source FROM documents WHERE text IS NOT NULL"
 
 
 def _revision(k: int) -> str:
@@ -59,6 +59,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if source == "events":
         return spark.sql(sql.replace("FROM events", "FROM {events}"), events=table).withColumnRenamed("happened", "at")
     base = table.where(F.col("text").isNotNull()).select("doc_id", "text", "source")
+    if name == "revisions":
+        base = spread(base)
     return spark.sql(sql.replace("FROM base", "FROM {base}"), base=base)
 
 

@@ -28,8 +28,11 @@ def process(batch: DataFrame, number: int, documents: DataFrame, out: str, summa
     """Appends a batch's outcomes, snapshots and changes under ``out``, each in the batch's own partition."""
     spark = batch.sparkSession
     previous = stored(spark, f"{out}/snapshots", number)
-    latest = state.latest_per(previous, "document_id", "fetched_at", "id") if previous is not None else None
-    done = crawl.run(documents, batch, summarize, latest)
+    if previous is not None:  # of the documents that this batch has; only keys and hashes are sorted
+        previous = previous.join(batch.select("document_id").distinct(), "document_id", "left_semi")
+        newest = state.latest_per(previous.select("document_id", "fetched_at", "id"), "document_id", "fetched_at", "id")
+        previous = previous.join(newest.select("document_id", "id"), ["document_id", "id"], "left_semi")
+    done = crawl.run(documents, batch, summarize, previous)
     for name in ("outcomes", "changes", "snapshots"):
         getattr(done, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 

@@ -48,6 +48,17 @@ def test_crawl(spark, documents):
     assert done.snapshots.count() == 5 and done.changes.count() == 3
 
 
+def test_crawl_asks_policy_first(spark, documents):
+    urls = {"a": "https://a.test/x", "b": "https://b.test/private/y", "c": "https://a.test/z"}
+    due = documents.select("*", F.element_at(F.create_map(*[F.lit(x) for kv in urls.items() for x in kv]), F.col("id")).alias("source_url"), F.when(F.col("id") == "a", 1).otherwise(2).alias("last_checked_at"))
+    robots = spark.createDataFrame([("https://a.test", 404, None, None), ("https://b.test", 200, None, "User-agent: *\nDisallow: /private")], "origin string, http_status int, error string, body string")
+    done = crawl.run(due, fetches(spark, ROWS), robots=robots)
+    assert statuses(done.outcomes) == {k: n for k, n in EXPECTED.items() if k[0] == "a"} | {("b", "skipped"): 1, ("c", "skipped"): 1}
+    assert {r["document_id"] for r in done.snapshots.collect()} == {"a"}
+    reasons = {r["document_id"]: r["detail"] for r in done.outcomes.where("status = 'skipped'").collect()}
+    assert reasons == {"b": "robots.txt disallows /private/y", "c": "a.test was already contacted this run"}
+
+
 def test_stream_equals_batch(spark, documents, tmp_path):
     for day in ("2026-01-01", "2026-01-02", "2026-01-03", "2026-01-04"):
         fetches(spark, [r for r in ROWS if r[3] == day]).coalesce(1).write.parquet(str(tmp_path / "landed" / day))
