@@ -34,23 +34,24 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def alias_key(url: Column) -> Column:
+def alias_key(url: Column, host: Column, path: Column) -> Column:
     """What two spellings of one address share: scheme and host in lower case, path, query; no fragment.
     Null without a host."""
     query = F.regexp_extract(url, "^[^?#]*([?][^#]*)", 1)
-    path = url_path(url)
-    key = F.concat(lower_ascii(F.substring_index(url, "://", 1)), F.lit("://"), url_host(url), F.when(path == "", "/").otherwise(path), query)
-    return F.when(url_host(url) != "", key)
+    return F.when(host != "", F.concat(lower_ascii(F.substring_index(url, "://", 1)), F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
 
 
-def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(rule string, verdict) of the deciding rule, null if none fits."""
-    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, rule in sorted(rules, key=lambda r: (len(r[1]), r[0] == "allow")):  # later ones decide
-        name, slash, rest = rule.partition("/")
-        fits = ((host == name) | F.endswith(host, F.lit(f".{name}"))) & F.startswith(path, F.lit(slash + rest))
-        text, verdict = F.when(fits, rule).otherwise(text), F.when(fits, kind).otherwise(verdict)
-    return text, verdict
+def deciding_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
+    """struct<n, allow, rule> of the longest rule that fits, null if none does; of equally long ones an allow, then
+    the last in order.  The rules are one literal array, so the expression does not grow with them."""
+    parts = [(kind, *rule.partition("/")) for kind, rule in rules]
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(slash + rest).alias("prefix"), F.lit(len(name + slash + rest)).alias("n"), F.lit(kind == "allow").alias("allow")) for kind, name, slash, rest in parts] or [F.lit(None).cast("struct<name:string,prefix:string,n:int,allow:boolean>")])
+    fits = F.filter(known, lambda r: ((host == r["name"]) | F.endswith(host, F.concat(F.lit("."), r["name"]))) & F.startswith(path, r["prefix"]))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"), F.concat(r["name"], r["prefix"]).alias("rule"))))
+
+
+def verdict_of(rule: Column) -> Column:
+    return F.when(rule["allow"], "allow").when(~rule["allow"], "block")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -75,11 +76,13 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     has = F.col(html_col).rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)")
     markup = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
     tags = pages.where(has & F.col(url_col).isNotNull()).select(F.col(url_col).alias("source"), F.explode(F.regexp_extract_all(markup, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag"))
+    tags = tags.where(F.lower("tag").rlike("canonical|refresh"))
     parts = tags.select("source", F.lower("tag").alias("low"), *[attribute(F.col("tag"), x).alias(x) for x in ("rel", "href", "http-equiv", "content")])
     canonical = F.when(F.col("low").startswith("<link") & F.concat(F.lit(" "), F.lower("rel"), F.lit(" ")).contains(" canonical "), F.col("href"))
     refresh = F.when(F.col("low").startswith("<meta") & (F.lower("http-equiv") == "refresh"), F.regexp_extract("content", r"(?is)^[^;,]*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1))
     links = parts.select("source", F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
-    based = links.select("link", *[f(F.col("source")).alias(n) for n, f in (("scheme", lambda u: F.substring_index(u, "://", 1)), ("host", url_host), ("folder", lambda u: F.regexp_replace(url_path(u), "[^/]*$", "")))], "source")
+    split = links.select("source", "link", F.substring_index("source", "://", 1).alias("scheme"), url_host(F.col("source")).alias("host"), url_path(F.col("source")).alias("path"))
+    based = split.withColumn("folder", F.regexp_replace("path", "[^/]*$", ""))
     return based.select("source", resolve().alias("target"))
 
 
@@ -90,15 +93,17 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
     path, no aliases and the default verdict.  Null html has no links.  Repeated rows stay repeated; other
     columns are ignored.  Empty input: no rows.
     """
-    host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
-    rule, verdict = rule_columns(host, path, rules)
-    judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("own"), alias_key(F.col(url_col)).alias("key"))
+    # Host and path are columns of their own before anything refers to them: written into each expression that
+    # needs them the plan would outgrow what the JVM compiles.
+    split = pages.select(F.col(id_col), F.col(url_col).alias("_url"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    judged = split.select(id_col, "host", "path", deciding_rule(F.col("host"), F.col("path"), rules).alias("_rule"), alias_key(F.col("_url"), F.col("host"), F.col("path")).alias("_key"))
     links = page_links(pages, url_col, html_col)
     if redirects is not None:
         links = links.unionByName(redirects.select("source", "target"))
-    groups = components(links.select(alias_key(F.col("source")).alias("a"), alias_key(F.col("target")).alias("b")))
-    _, of_node = rule_columns(url_host(F.col("node")), url_path(F.col("node")), rules)
-    decided = groups.withColumn("own", of_node)
+    spelled = lambda c: alias_key(F.col(c), F.col(f"{c}_host"), F.col(f"{c}_path"))
+    edges = links.withColumns({f"{c}_{part}": f(F.col(c)) for c in ("source", "target") for part, f in (("host", url_host), ("path", url_path))}).select(spelled("source").alias("a"), spelled("target").alias("b"))
+    nodes = components(edges).withColumns({"host": url_host(F.col("node")), "path": url_path(F.col("node"))})
+    decided = nodes.select("node", "component", verdict_of(deciding_rule(F.col("host"), F.col("path"), rules)).alias("own"))
     of_group = decided.groupBy("component").agg(F.min("own").alias("spread"))  # 'allow' sorts before 'block'
-    aliases = decided.join(of_group, "component").where(F.col("spread").isNotNull()).select(F.col("node").alias("key"), "spread")
-    return judged.join(aliases, "key", "left").select(id_col, "host", "path", "rule", F.coalesce("own", "spread", F.lit("allow")).alias("verdict"))
+    aliases = decided.join(of_group, "component").where(F.col("spread").isNotNull()).select(F.col("node").alias("_key"), "spread")
+    return judged.join(aliases, "_key", "left").select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(verdict_of(F.col("_rule")), "spread", F.lit("allow")).alias("verdict"))
