@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, free_name, tidy
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are Unicode's (categories Lu, Ll, Lt, Lm, Lo); what a regex takes for a word character besides them,
+#: digits and the underscore are other numerals.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NO_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 class Encoder:

@@ -272,11 +272,13 @@ def test_language(spark):
     alphabet = {"aa": "abcde", "bb": "vwxyz"}
     word = lambda r, s: "".join(r.choice(s) for _ in range(r.randint(2, 6)))
     rows = [(i, " ".join(word(random.Random(i * 99 + k), alphabet[lang]) for k in range(30)), lang) for i in range(80) for lang in [("aa", "bb")[i % 2]]]
+    rows += [(104, "½ ²", "aa"), (105, "Ⅷ ①_", "aa"), (106, "٣ \u0301", "bb"), (107, "ª", None)]
     rows += [(100, None, "aa"), (101, "123 !", "aa"), (102, "abc abc", None), (None, "xyz vw", "bb"), (103, "日本 " * 50, None)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, score double")
     got = {r["doc_id"]: r for r in langid.language_id(df).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:80]) and got[0]["held_out"] == (zlib.crc32(b"0") % 3 == 1)
-    assert got[100]["lang_pred"] == got[101]["lang_pred"] == "und" and got[102]["lang_pred"] == "aa" and got[None]["held_out"] is False
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (100, 101, 104, 105, 106)) and got[107]["lang_pred"] in alphabet
+    assert got[102]["lang_pred"] == "aa" and got[None]["held_out"] is False
     assert langid.language_id(df.limit(0)).count() == 0
     encoder = langid.Encoder(64, chars=16, docs=3)
     parts, whole = encoder.encode([r[1] for r in rows])[0], langid.Encoder(64).encode([r[1] for r in rows])[0]
@@ -293,6 +295,7 @@ def test_url_filter(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()}
     assert got == {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow")}
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
     more = spark.createDataFrame([("https://d.net", "https://bad.net/z")], "source string, target string")
     assert url_filter.judge_urls(df, rules, redirects=more).where("page_id = 9").first()["verdict"] == "block"
 
