@@ -5,8 +5,13 @@ fingerprints are dealt out by the top of a vantage-point tree: a node compares d
 a radius ``mu``, the near side holds d <= mu.  By the triangle inequality two fingerprints within ``links``
 bits can lie on different sides only if both are within ``links`` of the boundary, so the far side's boundary
 band is sent to the near side as visitors, and visitors follow every branch that the bound leaves open.  Each
-shard then grows its own tree, prunes alike, compares leaves in blocks and returns a spanning forest of the
-links found - never all pairs.  Connected components over the forests give the groups.
+shard then grows its own tree, of which a node has a branch for every distance to its vantage: linked pairs
+differ in that distance by at most ``links``, so a branch is visited from the next ones alone.  Leaves are
+compared in blocks and give a spanning forest of the links found - never all pairs.  Connected components over
+the forests give the groups.
+
+Fingerprints without near ones lie at 32 +- 4 bits from any vantage, where a band of four bits holds a third of
+them: a level of the top sends some 1.4 copies of a row.  So shards are large (``per_shard``) and few.
 
 The top of the tree is fitted on a bounded sample of fingerprints (``sample``); that affects balance only,
 as every fingerprint is dealt out and every pair within the bound meets in exactly one shard.
@@ -151,25 +156,36 @@ def link(x: np.ndarray, n_home: int, r: int, leaf: int = 256) -> np.ndarray:
         values = x[every]
         for at in range(0, len(home), 128):
             close = np.bitwise_count(values[at : at + 128, None] ^ values[None, at:]) <= r
-            for i in np.flatnonzero(close.sum(axis=1) > 1):
+            for i in np.flatnonzero(close[: len(home) - at].sum(axis=1) > 1):
                 joined = np.unique(roots(every[at + np.flatnonzero(close[i])]))
                 if len(joined) > 1:
                     parent[joined] = joined[0]
 
-    stack = [(np.arange(n_home), np.arange(n_home, len(x)))]
-    while stack:
-        home, visit = stack.pop()
-        if not len(home):
-            continue
-        chosen = _choose(x, home, visit, r, rng) if len(home) > leaf else None
-        if chosen is None:
+    def branches(home: np.ndarray, visit: np.ndarray):
+        """(home, visitors) by distance to a vantage: a branch meets itself and, above it, the next r distances;
+        visitors come from both sides."""
+        vantage = x[rng.choice(home)]
+        dh, dv = _distance(x[home], vantage), _distance(x[visit], vantage)
+        home, visit = home[np.argsort(dh, kind="stable")], visit[np.argsort(dv, kind="stable")]
+        dh, dv = np.sort(dh), np.sort(dv)
+        for d in np.unique(dh):
+            a, b, c = np.searchsorted(dh, [d, d + 1, d + r + 1])
+            e, f = np.searchsorted(dv, [d - r, d + r + 1])
+            yield home[a:b], np.concatenate([home[b:c], visit[e:f]])
+
+    def grow(home: np.ndarray, visit: np.ndarray, depth: int) -> None:
+        if len(home) <= leaf or depth >= 6:
             compare(home, visit)
-        else:
-            stack.extend(_split(x, *chosen, home, visit, r))
+            return
+        for part in branches(home, visit):
+            grow(*part, depth + 1)
+
+    if n_home:
+        grow(np.arange(n_home), np.arange(n_home, len(x)), 0)
     return roots(np.arange(len(x)))
 
 
-def link_fingerprints(distinct: DataFrame, links: int = 4, *, per_shard: int = 16384, sample: int = 8192) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, links: int = 4, *, per_shard: int = 131072, sample: int = 8192) -> DataFrame:
     """(node, component) of the distinct fingerprints (column fp) that have a link; component: smallest fp."""
     spark = distinct.sparkSession
     total = distinct.count()
@@ -210,7 +226,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     groups = link_fingerprints(distinct, links)
     named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = checkpoint(named)
-    ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
+    ids = checkpoint(least.groupBy("group").agg(F.min("least").alias("component_id")))  # a plain exchange of a hot group can be split
     by_print = least.join(ids, "group").select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
