@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revtrail.functions.text import let
+
 from .components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,6 +43,10 @@ def alias_key(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(lower_ascii(F.substring_index(url, "://", 1)), F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
 
 
+def spelled(url: Column) -> Column:
+    return let(F.struct(url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path")), lambda u: alias_key(u["url"], u["host"], u["path"]))
+
+
 def deciding_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct<n, allow, rule> of the longest rule that fits, null if none does; of equally long ones an allow, then
     the last in order.  The rules are one literal array, so the expression does not grow with them."""
@@ -60,30 +66,35 @@ def attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
 
-def resolve() -> Column:
-    """The absolute URL of column link on a page with the given scheme, host and folder."""
-    link, root = F.col("link"), F.concat("scheme", F.lit("://"), "host")
+def resolve(link: Column, page: Column) -> Column:
+    """The absolute URL of a link on a page with the given scheme, host and folder."""
+    root = F.concat(page["scheme"], F.lit("://"), page["host"])
     return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(F.startswith(link, F.lit("//")), F.concat("scheme", F.lit(":"), link))
+        .when(F.startswith(link, F.lit("//")), F.concat(page["scheme"], F.lit(":"), link))
         .when(F.startswith(link, F.lit("/")), F.concat(root, link))
-        .otherwise(F.concat(root, F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), link))
+        .otherwise(F.concat(root, F.when(page["folder"] == "", "/").otherwise(page["folder"]), link))
     )
 
 
-def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) URLs of canonical links and refresh redirects, outside comments and scripts."""
+def tag_link(tag: Column) -> Column:
+    """Where a canonical link or refresh redirect points; null for other tags."""
+    value = lambda name: attribute(tag, name)
+    canonical = F.when(F.lower(tag).startswith("<link") & F.concat(F.lit(" "), F.lower(value("rel")), F.lit(" ")).contains(" canonical "), value("href"))
+    refresh = F.when(F.lower(tag).startswith("<meta") & (F.lower(value("http-equiv")) == "refresh"), F.regexp_extract(value("content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1))
+    return F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&"))
+
+
+def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b) alias keys joined by canonical links and refresh redirects, outside comments and scripts.  All is
+    worked out within arrays before they are unnested: filters on the result cannot multiply the expressions."""
     has = F.col(html_col).rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)")
     markup = F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
-    tags = pages.where(has & F.col(url_col).isNotNull()).select(F.col(url_col).alias("source"), F.explode(F.regexp_extract_all(markup, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag"))
-    tags = tags.where(F.lower("tag").rlike("canonical|refresh"))
-    parts = tags.select("source", F.lower("tag").alias("low"), *[attribute(F.col("tag"), x).alias(x) for x in ("rel", "href", "http-equiv", "content")])
-    canonical = F.when(F.col("low").startswith("<link") & F.concat(F.lit(" "), F.lower("rel"), F.lit(" ")).contains(" canonical "), F.col("href"))
-    refresh = F.when(F.col("low").startswith("<meta") & (F.lower("http-equiv") == "refresh"), F.regexp_extract("content", r"(?is)^[^;,]*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1))
-    links = parts.select("source", F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
-    split = links.select("source", "link", F.substring_index("source", "://", 1).alias("scheme"), url_host(F.col("source")).alias("host"), url_path(F.col("source")).alias("path"))
-    based = split.withColumn("folder", F.regexp_replace("path", "[^/]*$", ""))
-    return based.select("source", resolve().alias("target"))
+    links = F.filter(F.transform(F.regexp_extract_all(markup, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1), tag_link), lambda x: x != "")
+    url = F.col(url_col)
+    page = let(F.struct(url.alias("url"), F.substring_index(url, "://", 1).alias("scheme"), url_host(url).alias("host"), url_path(url).alias("path")), lambda u: F.struct(u["scheme"].alias("scheme"), u["host"].alias("host"), F.regexp_replace(u["path"], "[^/]*$", "").alias("folder"), alias_key(u["url"], u["host"], u["path"]).alias("key")))
+    edges = let(page, lambda p: F.transform(links, lambda x: F.struct(p["key"].alias("a"), spelled(resolve(x, p)).alias("b"))))
+    return pages.where(has & url.isNotNull()).select(F.explode(edges).alias("edge")).select("edge.*")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -97,11 +108,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
     # needs them the plan would outgrow what the JVM compiles.
     split = pages.select(F.col(id_col), F.col(url_col).alias("_url"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     judged = split.select(id_col, "host", "path", deciding_rule(F.col("host"), F.col("path"), rules).alias("_rule"), alias_key(F.col("_url"), F.col("host"), F.col("path")).alias("_key"))
-    links = page_links(pages, url_col, html_col)
+    edges = page_edges(pages, url_col, html_col)
     if redirects is not None:
-        links = links.unionByName(redirects.select("source", "target"))
-    spelled = lambda c: alias_key(F.col(c), F.col(f"{c}_host"), F.col(f"{c}_path"))
-    edges = links.withColumns({f"{c}_{part}": f(F.col(c)) for c in ("source", "target") for part, f in (("host", url_host), ("path", url_path))}).select(spelled("source").alias("a"), spelled("target").alias("b"))
+        more = F.array(F.struct(spelled(F.col("source")).alias("a"), spelled(F.col("target")).alias("b")))
+        edges = edges.unionByName(redirects.select(F.explode(more).alias("edge")).select("edge.*"))
     nodes = components(edges).withColumns({"host": url_host(F.col("node")), "path": url_path(F.col("node"))})
     decided = nodes.select("node", "component", verdict_of(deciding_rule(F.col("host"), F.col("path"), rules)).alias("own"))
     of_group = decided.groupBy("component").agg(F.min("own").alias("spread"))  # 'allow' sorts before 'block'
