@@ -3,14 +3,19 @@
 A window is ``window`` bytes long.  Each window is anchored at the position, among its first bytes, whose
 ``window // 2``-byte string has the smallest hash (leftmost of equals); equal windows have equal anchors, so
 only suffixes at anchors need sorting.  Consecutive windows with one anchor form a run, stored as its position.
-
-1. Runs are counted by the hash of the string at their anchor.  A run whose anchor string occurs once holds no
-   repeated window.  A group of which all runs are equal as a whole is repeated as a whole.
-2. What is left are groups whose runs differ: the edges of repeated passages.  One representative of each
-   distinct run brings its bytes, and partitions by anchor hash feed them, batch by batch, to an index family:
-   a batch gets a suffix array (its anchored suffixes in order), is merge-scanned against the levels already
-   there for matches of a whole window, and levels of equal size merge geometrically.
-3. Groups with more than ``group_limit`` distinct runs could outgrow a task.  Their windows are compared by
+A suffix array holds runs in the order of (hash of the first ``window // 2`` bytes at the anchor, hash of the
+whole run): strings that match share the first and lie next to each other.
+
+1. Each task keeps a family of such arrays (``RunFamily``): a batch of documents gets one, levels of similar size
+   merge geometrically, and a run met twice leaves its positions as repeated and one entry with a count.  What a
+   hot passage sends on is an entry a task, not a row an occurrence.
+2. One shuffle by anchor merges the arrays of all tasks in order, and a scan of neighbours decides: an anchor met
+   once holds no repeated window; runs equal as a whole are repeated as a whole.
+3. What is left are the edges of repeated passages: runs that share an anchor, yet differ.  Their bytes are
+   fetched, and a family of arrays of suffixes (``IndexFamily``) takes them batch by batch: a batch gets a suffix
+   array, is merge-scanned against the levels already there for matches of a whole window, and levels of equal
+   size merge geometrically.
+4. Anchors with more than ``group_limit`` different runs could outgrow a task.  Their windows are compared by
    128-bit hashes in an aggregate instead, which handles any size exactly.
 
 Documents are identified by the MD5 of their text, so identical texts share one set of marks.
@@ -19,7 +24,7 @@ Documents are identified by the MD5 of their text, so identical texts share one
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,30 +61,66 @@ class Hasher:
         return _mix((prefix[end] - prefix[start]) * self.back[start])
 
 
-def runs(raw: bytes, window: int, hasher: Hasher) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first window, anchor - first window, last - first window, anchor hash, hash of the whole run)."""
+def _runs_in(t: np.ndarray, end: np.ndarray, window: int, hasher: Hasher) -> tuple[np.ndarray, ...]:
+    """(first window, anchor - first window, last - first window, anchor hash, hash of the whole run) of a buffer of
+    texts; ``end`` is, by position, where the text there ends."""
     k = window // 2
     v = window - k + 1  # anchor candidates of a window
-    whole = np.frombuffer(raw, np.uint8)
-    for base in range(0, max(0, len(whole) - window + 1), _CHUNK):
-        t = whole[base : base + _CHUNK + window - 1]
-        prefix = hasher.prefix(t)
-        m, windows = len(t) - k + 1, len(t) - window + 1
-        h = hasher.between(prefix, np.arange(m), np.arange(k, m + k))
-        rows = -(-m // v)
-        key = np.concatenate([h >> _U(16), np.full(rows * v - m, (1 << 48) - 1, np.uint64)]).reshape(rows, v) << _U(16) | np.arange(v, dtype=np.uint64)
-        pre = np.minimum.accumulate(key, axis=1).ravel()
-        post = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
-        s = np.arange(windows)
-        e = s + v - 1
-        a, b = post[:windows], pre[v - 1 : v - 1 + windows]
-        low = _U(0xFFFF)
-        anchor = np.where((a >> _U(16)) <= (b >> _U(16)), s // v * v + (a & low).astype(np.int64), e // v * v + (b & low).astype(np.int64))
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        last = np.concatenate([first[1:] - 1, [windows - 1]])
-        at = anchor[first]
-        shape = ((at - first) * (window + 1) + (last - first)).astype(np.uint64)
-        yield base + first, at - first, last - first, h[at], _mix(hasher.between(prefix, first, last + window) + shape * _U(0xC2B2AE3D27D4EB4F))
+    prefix = hasher.prefix(t)
+    m, windows = len(t) - k + 1, len(t) - window + 1
+    h = hasher.between(prefix, np.arange(m), np.arange(k, m + k))
+    rows = -(-m // v)
+    key = np.concatenate([h >> _U(16), np.full(rows * v - m, (1 << 48) - 1, np.uint64)]).reshape(rows, v) << _U(16) | np.arange(v, dtype=np.uint64)
+    pre = np.minimum.accumulate(key, axis=1).ravel()
+    post = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+    s = np.arange(windows)
+    e = s + v - 1
+    a, b = post[:windows], pre[v - 1 : v - 1 + windows]
+    low = _U(0xFFFF)
+    anchor = np.where((a >> _U(16)) <= (b >> _U(16)), s // v * v + (a & low).astype(np.int64), e // v * v + (b & low).astype(np.int64))
+    anchor[s + window > end[:windows]] = -1  # windows across two texts
+    change = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    first = np.flatnonzero(change)
+    last = np.concatenate([first[1:] - 1, [windows - 1]])
+    inside = anchor[first] >= 0
+    first, last = first[inside], last[inside]
+    at = anchor[first]
+    shape = ((at - first) * (window + 1) + (last - first)).astype(np.uint64)
+    return first, at - first, last - first, h[at], _mix(hasher.between(prefix, first, last + window) + shape * _U(0xC2B2AE3D27D4EB4F))
+
+
+def runs(raws: Sequence[bytes], window: int, hasher: Hasher) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, first window, anchor - first window, last - first window, anchor hash, hash of the whole run).
+    Short texts share a buffer; long ones are cut at fixed places."""
+    group: list[int] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[np.ndarray, ...]]:
+        nonlocal group, size
+        if group:
+            lengths = np.array([len(raws[i]) for i in group])
+            ends = np.cumsum(lengths)
+            t = np.frombuffer(b"".join(raws[i] for i in group), np.uint8)
+            first, *rest = _runs_in(t, np.repeat(ends, lengths), window, hasher)
+            which = np.searchsorted(ends, first, side="right")
+            yield np.array(group)[which], first - (ends - lengths)[which], *rest
+        group, size = [], 0
+
+    for i, raw in enumerate(raws):
+        if len(raw) < window:
+            continue
+        if len(raw) > _CHUNK:
+            whole = np.frombuffer(raw, np.uint8)
+            for base in range(0, len(raw) - window + 1, _CHUNK):
+                t = whole[base : base + _CHUNK + window - 1]
+                first, *rest = _runs_in(t, np.full(len(t), len(t)), window, hasher)
+                yield np.full(len(first), i), base + first, *rest
+            continue
+        if size + len(raw) > _CHUNK:
+            yield from flush()
+        group.append(i)
+        size += len(raw)
+    yield from flush()
 
 
 def pack_place(first, back, span):
@@ -90,6 +131,45 @@ def unpack_place(place):
     return place >> 24, place >> 12 & 4095, place & 4095
 
 
+class RunFamily:
+    """Levels of suffix arrays: runs in the order of (anchor hash, run hash), each once with a count.  Positions of
+    runs met more than once are ``repeated``, (text number, place)."""
+
+    def __init__(self) -> None:
+        self.levels: list[np.ndarray] = []  # rows: anchor, whole, count, text number, place
+        self.repeated: list[np.ndarray] = []
+
+    def __len__(self) -> int:
+        return sum(len(x) for x in self.levels)
+
+    def add(self, anchor: np.ndarray, whole: np.ndarray, text: np.ndarray, place: np.ndarray) -> None:
+        level = self._merged(np.stack([anchor.view(np.int64), whole.view(np.int64), np.ones(len(anchor), np.int64), text, place], axis=1))
+        while self.levels and len(self.levels[-1]) <= 2 * len(level):
+            level = self._merged(np.concatenate([self.levels.pop(), level]))
+        self.levels.append(level)
+
+    def _merged(self, rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        if len(start) == len(rows):
+            return rows
+        total = np.add.reduceat(rows[:, 2], start)
+        fresh = (rows[:, 2] == 1) & (total[np.cumsum(new) - 1] > 1)  # those counted before are there already
+        self.repeated.append(rows[fresh, 3:])
+        out = rows[start]
+        out[:, 2] = total
+        return out
+
+    def drain(self) -> tuple[np.ndarray, np.ndarray]:
+        """The single array of all levels, and the repeated positions; the family is empty then."""
+        none = np.zeros((0, 5), np.int64)
+        whole = self._merged(np.concatenate([none, *self.levels]))
+        repeated = np.concatenate([none[:, 3:], *self.repeated])
+        self.levels, self.repeated = [], []
+        return whole, repeated
+
+
 class IndexFamily:
     """Levels of sorted anchored suffixes; every repeated window of what was added is marked."""
 
@@ -186,24 +266,117 @@ class IndexFamily:
 # ---- Spark ----------------------------------------------------------------------------------------------
 
 
+#: What passes between the stages: spans known to be repeated (of a key), or a run.
+_MARKS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ENTRY = "route long, key binary, spans array<struct<start:long,end:long>>, place long, anchor long, whole long, n long"
+_FAMILY_ROWS = 1 << 20
+
+
+def _spans(place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    first, _, span = unpack_place(place)
+    return first, first + span + window
+
+
+def _joined(text: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, pa.Array]:
+    """Text numbers that have repeated positions, and their spans, merged."""
+    order = np.lexsort((place, text))
+    text, (start, end) = text[order], _spans(place[order], window)
+    # ends rise with starts within a text, for runs follow one another
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] > end[:-1])]) if len(text) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    start, end = start[at], np.maximum.reduceat(end, at) if len(at) else end[:0]
+    texts, first = np.unique(text[at], return_index=True)
+    values = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+    return texts, pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), values)
+
+
 def _find_runs(window: int):
+    """Entries of the task's family, and spans it found repeated, of texts (key, raw)."""
+
+    def rows(family: RunFamily, keys: list[bytes]) -> Iterator[pa.RecordBatch]:
+        whole, repeated = family.drain()
+        names = ["route", "key", "spans", "place", "anchor", "whole", "n"]
+        for at in range(0, len(whole), 65536):
+            anchor, run, n, text, place = whole[at : at + 65536].T
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array([keys[i] for i in text], pa.binary()), pa.nulls(len(n), _MARKS), pa.array(place), pa.array(anchor), pa.array(run), pa.array(n)], names=names)
+        texts, spans = _joined(repeated[:, 0], repeated[:, 1], window)
+        if len(texts):
+            own = [keys[i] for i in texts]
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([int.from_bytes(k[:8], "little", signed=True) for k in own])), pa.array(own, pa.binary()), spans, none, none, none, none], names=names)
+
+    def run(batches):
+        hasher, family = Hasher(_CHUNK + window), RunFamily()
+        known: dict[bytes, list[int]] = {}  # number of a text, and how often it was met
+        for batch in batches:
+            texts, number = batch.column(1).to_pylist(), []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                own = known.setdefault(key, [len(known), 0])
+                own[1] += 1
+                number.append(own[0])
+                if own[1] > 2:  # met twice, all of it is repeated
+                    texts[i] = b""
+            for text, first, back, span, anchor, whole in runs(texts, window, hasher):
+                family.add(anchor, whole, np.array(number, np.int64)[text], pack_place(first, back, span))
+            if len(family) > _FAMILY_ROWS:
+                yield from rows(family, list(known))
+                known = {}
+        yield from rows(family, list(known))
+
+    return run
+
+
+def _scan_runs(window: int, group_limit: int):
+    """Neighbours in the order of (anchor, whole): spans of runs that are repeated, and runs to be compared with
+    others of their anchor (``alone``: met once) by the bytes."""
+    names = ["key", "spans", "place", "anchor", "whole", "alone", "large"]
+
+    def decided(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = batch.column(1)
+        place, anchor, whole, n = (batch.column(i).to_numpy() for i in range(3, 7))
+        group = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        kind = group | np.concatenate([[True], whole[1:] != whole[:-1]])
+        of_group, of_kind = np.cumsum(group) - 1, np.cumsum(kind) - 1
+        total = np.bincount(of_kind, n).astype(np.int64)[of_kind]
+        kinds = np.bincount(of_group, kind).astype(np.int64)[of_group]
+        singles = np.bincount(of_group, total == 1).astype(np.int64)[of_group]
+        mark = np.flatnonzero((total > 1) & (n == 1))
+        ask = np.flatnonzero((kinds > 1) & (singles > 0) & kind)
+        if len(mark):
+            start, end = _spans(place[mark], window)
+            values = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.arange(len(mark) + 1), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(mark)), spans, *[pa.nulls(len(mark), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]], names=names)
+        if len(ask):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(ask)), pa.nulls(len(ask), _MARKS), pa.array(place[ask]), pa.array(anchor[ask]), pa.array(whole[ask]), pa.array(total[ask] == 1), pa.array(kinds[ask] > group_limit)], names=names)
+
     def run(batches):
-        hasher = Hasher(_CHUNK + window)
+        held: list[pa.RecordBatch] = []  # rows of the last anchor, which may go on
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 512):
-                out, owner = [], []
-                for i, text in enumerate(texts.slice(at, 512).to_pylist(), at):
-                    for first, back, span, anchor, whole in runs(text, window, hasher):
-                        out.append((pack_place(first, back, span), anchor.view(np.int64), whole.view(np.int64)))
-                        owner.append(np.full(len(first), i))
-                if out:
-                    place, anchor, whole = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(owner))), pa.array(place), pa.array(anchor), pa.array(whole)], names=["key", "place", "anchor", "whole"])
+            known = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            if len(known):
+                some = batch.take(pa.array(known))
+                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), *[pa.nulls(len(known), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]], names=names)
+                batch = batch.filter(batch.column(2).is_null())
+            if not batch.num_rows:
+                continue
+            anchor = batch.column(4).to_numpy()
+            if held and (anchor == held[-1].column(4)[0].as_py()).all():
+                held.append(batch)
+                continue
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            yield from decided(_one([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield from decided(_one(held))
 
     return run
 
 
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if sum(b.num_rows for b in batches) else batches[0]
+
+
 def _bring_bytes(window: int):
     def run(batches):
         seen: set[bytes] = set()
@@ -253,39 +426,39 @@ def _window_hashes(window: int):
     return run
 
 
-def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 20_000, per_task: int = 25_000) -> DataFrame:
+#: Bytes of keys and positions up to which they are sent to all executors, so that texts need not move.
+_SENT = 32 << 20
+
+
+def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 20_000, per_task: int = 25_000) -> tuple[DataFrame, bool]:
     """(key, stretches array<struct<start, end>>): byte ranges covered by repeated windows, per distinct text
-    that has any.  texts: key (MD5), raw (bytes)."""
+    that has any; and whether they are few enough to be broadcast.  texts: key (MD5), raw (bytes)."""
     long_enough = texts.where(F.length("raw") >= window).select("key", "raw")
-    found = lambda: long_enough.mapInArrow(tidy(_find_runs(window), 512), "key binary, place long, anchor long, whole long")
-    groups = found().groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1").select(F.col("anchor").alias("g"), (F.col("least") != F.col("most")).alias("mixed"))
-    # Checkpointed, as all sides of joins on keys that can be hot: a plain exchange on both sides can be split.
-    groups = checkpoint(groups)
-    shared = checkpoint(found().join(groups, F.col("anchor") == F.col("g")).select("key", "place", "anchor", "whole", "mixed"))
-    mixed = shared.where("mixed").select("key", "place", "anchor", "whole")
-    head = lambda c: F.xxhash64(c)
-    kinds = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(head("key")).alias("who"))
-    sizes = kinds.groupBy("anchor").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("distinct_runs")).withColumnRenamed("anchor", "g")
-    kinds = checkpoint(kinds.join(sizes, F.col("anchor") == F.col("g")).select(F.col("anchor").alias("ka"), F.col("whole").alias("kw"), "n", "who", "fewest", "distinct_runs"))
-    told = checkpoint(mixed.join(kinds, (F.col("anchor") == F.col("ka")) & (F.col("whole") == F.col("kw"))))  # used twice
-    stretch = lambda df: df.select("key", F.shiftright("place", 24).alias("start"), (F.shiftright("place", 24) + F.col("place").bitwiseAND(4095) + window).alias("end"))
-    whole = stretch(shared.where("not mixed")).unionByName(stretch(told.where("n > 1")))
-    wanted = told.where("fewest = 1").where((F.col("n") == 1) | (F.col("who") == head("key")))
-    asked = checkpoint(wanted.groupBy("key").agg(F.collect_set(F.struct("place", "anchor", "whole", (F.col("n") == 1).alias("alone"), (F.col("distinct_runs") > group_limit).alias("large"))).alias("w")))
+    entries = long_enough.mapInArrow(tidy(_find_runs(window), 512), _ENTRY)
+    ordered = entries.repartition(shuffle_partitions(texts.sparkSession), "route").sortWithinPartitions("anchor", "whole")
+    decided = checkpoint(ordered.mapInArrow(tidy(_scan_runs(window, group_limit), 10_000), "key binary, spans array<struct<start:long,end:long>>, place long, anchor long, whole long, alone boolean, large boolean"))
+    open_runs = decided.where(F.col("anchor").isNotNull())
+    members, keys, large = open_runs.agg(F.count(F.lit(1)), F.count_distinct("key"), F.coalesce(F.max("large"), F.lit(False))).first()
+    asked = checkpoint(open_runs.groupBy("key").agg(F.collect_list(F.struct("place", "anchor", "whole", "alone", "large")).alias("w")))
+    if members * 48 + keys * 64 <= _SENT:
+        asked = F.broadcast(asked)
     schema = "key binary, place long, anchor long, whole long, alone boolean, bytes binary"
-    members = kinds.where("fewest = 1").count()
     parts = max(shuffle_partitions(texts.sparkSession), blocks_for(members, per_task))
 
     def brought(large: bool) -> DataFrame:
-        some = asked.select("key", F.filter("w", lambda x: x["large"] == large).alias("w")).where(F.size("w") > 0)
-        return long_enough.join(some, "key").select("key", "raw", "w").mapInArrow(tidy(_bring_bytes(window), 512), schema)
+        wanted = F.filter("w", lambda x: x["large"] == large)
+        return long_enough.join(asked, "key").select("key", "raw", wanted.alias("w")).where(F.size("w") > 0).mapInArrow(tidy(_bring_bytes(window), 512), schema)
 
-    parts_found = brought(False).repartition(parts, "anchor").mapInArrow(tidy(_index(window), 10_000), "key binary, start long, end long")
-    if not kinds.where((F.col("fewest") == 1) & (F.col("distinct_runs") > group_limit)).isEmpty():
+    found = brought(False).repartition(parts, "anchor").mapInArrow(tidy(_index(window), 10_000), "key binary, start long, end long")
+    if large:
         single = brought(True).dropDuplicates(["anchor", "whole"]).mapInArrow(tidy(_window_hashes(window), 512), "key binary, start long, anchor long, back long, h1 long, h2 long, alone boolean")
         twice = single.groupBy("anchor", "back", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        parts_found = parts_found.unionByName(single.where("alone").join(twice, ["anchor", "back", "h1", "h2"]).select("key", "start", (F.col("start") + window).alias("end")))
-    return checkpoint(whole.unionByName(parts_found).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("stretches")))
+        found = found.unionByName(single.where("alone").join(twice, ["anchor", "back", "h1", "h2"]).select("key", "start", (F.col("start") + window).alias("end")))
+    marks = decided.where(F.col("spans").isNotNull()).select("key", "spans").unionByName(found.select("key", F.array(F.struct("start", "end")).alias("spans")))
+    # Checkpointed, so that the join with texts has a plain exchange on either side and a hot text can be split.
+    marks = checkpoint(marks.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("stretches")))
+    keys, spans = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("stretches")), F.lit(0))).first()
+    return marks, keys * 64 + spans * 24 <= _SENT
 
 
 def merge(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -308,7 +481,9 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text",
     """
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.md5(raw)).alias("_key"), raw.alias("_raw"))
-    marks = repeated_stretches(docs.select(F.unhex(F.md5(raw)).alias("key"), raw.alias("raw")), window, group_limit).withColumnsRenamed({"key": "_mark", "stretches": "_stretches"})
+    marks, few = repeated_stretches(docs.select(F.unhex(F.md5(raw)).alias("key"), raw.alias("raw")), window, group_limit)
+    marks = marks.withColumnsRenamed({"key": "_mark", "stretches": "_stretches"})
+    marks = F.broadcast(marks) if few else marks
     joined = texts.join(marks, F.col("_key") == F.col("_mark"), "left").select(*[F.col(f"`{c}`") for c in keep], "_raw", "_stretches")
 
     def run(batches):

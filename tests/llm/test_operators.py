@@ -75,9 +75,32 @@ def test_index_family_levels_merge_geometrically():
 
 
 def test_runs_cover_every_window():
-    raw = random.Random(4).randbytes(3000) + b"ab" * 900
-    places = [(f, s) for first, _, span, *_ in suffix_dedup.runs(raw, 400, suffix_dedup.Hasher(1 << 19)) for f, s in zip(first, span, strict=True)]
-    assert [w for f, s in places for w in range(f, f + s + 1)] == list(range(len(raw) - 399))
+    long = random.Random(4).randbytes(3000) + b"ab" * 900
+    raws = [long, b"x" * 399, b"", b"y" * 400, long[5:], random.Random(5).randbytes((1 << 18) + 5000), long]
+    seen: dict[int, list[int]] = {i: [] for i in range(len(raws))}
+    hashes: dict[int, list] = {i: [] for i in range(len(raws))}
+    for text, first, back, span, anchor, whole in suffix_dedup.runs(raws, 400, suffix_dedup.Hasher(1 << 19)):
+        for i, f, n, *h in zip(text, first, span, back, anchor, whole, strict=True):
+            seen[i] += range(f, f + n + 1)
+            hashes[i].append(tuple(h))
+    assert all(sorted(w) == list(range(max(0, len(raws[i]) - 399))) for i, w in seen.items())
+    assert hashes[0] == hashes[6]  # wherever a text lies in a buffer
+
+
+def test_run_family_counts_and_levels():
+    rng = np.random.default_rng(8)
+    anchor, whole = rng.integers(0, 60, 3000), rng.integers(0, 9, 3000)
+    family = suffix_dedup.RunFamily()
+    for at in range(0, 3000, 100):
+        s = slice(at, at + 100)
+        family.add(anchor[s], whole[s], np.arange(3000)[s], np.arange(3000)[s] * 7)
+        sizes = [len(x) for x in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    rows, repeated = family.drain()
+    seen = Counter(zip(anchor.tolist(), whole.tolist(), strict=True))
+    assert [tuple(r) for r in rows[:, :2]] == sorted(seen) and all(seen[a, w] == n for a, w, n, *_ in rows.tolist())
+    want = [(i, 7 * i) for i, k in enumerate(zip(anchor.tolist(), whole.tolist(), strict=True)) if seen[k] > 1]
+    assert sorted(map(tuple, repeated.tolist())) == want and len(family) == 0
 
 
 # ---- simhash ---------------------------------------------------------------------------------------------
