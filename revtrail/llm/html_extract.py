@@ -1,12 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is read into structural tokens (paths of open elements with their classes) and text tokens (a path and
-the text of a block).  Over the pages of a host, tokens with the same occurrence vector - the same count on
-every page - form an equivalence class.  A class is valid if it spans enough pages and holds structure; its
-text tokens belong to the template.  Element nesting orders the classes inside each other, so what is left
-between them are the slots.  The main text is what fills slots inside the article (or, without one, inside
-the body), less parts whose element or class names mark them as menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments.
+the text of a block).  Over the distinct pages of a host, tokens with the same occurrence vector - the same count
+on every page - form an equivalence class.  A class is valid if it holds structure and spans enough pages; the
+valid classes are the template, nested as their paths are, and what lies between their tokens are the slots.
+
+- Text tokens in a valid class are the template's own wording and no page's text, inside an article too.
+- The slots that a page's text is in: of the elements that the template has once a page, the innermost with at
+  least half of all prose (text that is no link) of the host's pages that have it - or the article or main
+  element around that.
+
+Names are left what no occurrence tells: elements of HTML that by their meaning hold no article text (menus,
+forms, scripts, ...), and class or id names that as a whole name a notice, an advert and the like.  Where a host
+has too few pages to deduce a template, the article or main element is the region.
 
 Vectors are compared by a linear sketch - the sum of count times a random number of the page - which partial
 aggregates combine, so a host of any size is never gathered in one place.
@@ -16,7 +22,8 @@ from __future__ import annotations
 
 import html as _html
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -39,18 +46,47 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 CHROME_TAGS = set("head title script style noscript template nav menu footer aside form iframe object embed applet svg canvas video audio map button select option input textarea fieldset label dialog noframes noembed".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-CHROME_WORDS = set("ad ads adv advert adverts advertisement adverting advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promotion recommended related respond share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription teaser toast toolbar topbar widget".split())
-CHROME_PHRASES = ("site-header", "page-header", "site_header", "page_header", "top-header", "global-header", "header-bar", "user-replies", "discussion")
+CHROME_WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promotion recommended related replies respond share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription teaser toast toolbar topbar widget".split())
+#: Words that say nothing by themselves: a name made of these and at least one of the above is as that one.
+PLAIN_WORDS = set("article articles area bar block body bottom box btn button buttons container content footer form global group header holder icons inner item items left link links list main media news outer panel posts right section site slot stories text top unit user wrap wrapper zone".split())
 
 
 @dataclass
 class Block:
-    path: str
+    path: int  # number of the structural path
     text: str
     inside: bool  # in an article or main element
     linked: bool  # all of it is link text
 
 
+@dataclass
+class Paths:
+    """Structural paths of a page: their names, enclosing paths, counts, and whether they are an article's."""
+
+    names: list[str] = field(default_factory=lambda: [""])
+    above: list[int] = field(default_factory=lambda: [-1])
+    count: list[int] = field(default_factory=lambda: [1])
+    whole: list[bool] = field(default_factory=lambda: [False])
+    number: dict[str, int] = field(default_factory=lambda: {"": 0})
+
+    def enter(self, above: int, name: str, whole: bool) -> int:
+        path = f"{self.names[above]}>{name}"
+        k = self.number.get(path)
+        if k is None:
+            k = self.number[path] = len(self.names)
+            self.names.append(path)
+            self.above.append(above)
+            self.count.append(0)
+            self.whole.append(whole)
+        self.count[k] += 1
+        return k
+
+    def upwards(self, k: int) -> Iterator[int]:
+        while k >= 0:
+            yield k
+            k = self.above[k]
+
+
 def _names(attributes: dict[str, str]) -> str:
     return f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
 
@@ -66,22 +102,26 @@ def _is_chrome(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return tag == "article" and bool({"comment", "comments", "teaser"} & set(_WORDS.findall(_names(attributes))))
-    names = _names(attributes)
-    if not names.strip():
-        return False
-    return any(w in CHROME_WORDS for w in _WORDS.findall(names)) or names.split() == ["header"] or any(p in names for p in CHROME_PHRASES)
+    return any(_names_chrome(name) for name in _names(attributes).split())
+
+
+def _names_chrome(name: str) -> bool:
+    """A class or id name that as a whole is one of, or made of, such words: ad, share-buttons, but not
+    share-price."""
+    words = _WORDS.findall(name)
+    return not CHROME_WORDS.isdisjoint(words) and all(w in CHROME_WORDS or w in PLAIN_WORDS for w in words) or name in ("header", "site-header", "page-header", "site_header", "page_header", "top-header", "global-header", "header-bar", "discussion")
 
 
-def read(page: str | None) -> tuple[list[Block], dict[str, int]]:
-    """Visible blocks that no name marks as chrome, in page order, and the count of each structural path."""
+def read(page: str | None) -> tuple[list[Block], Paths]:
+    """Visible blocks that no name marks as chrome, in page order, and the structural paths."""
     blocks: list[Block] = []
-    paths: dict[str, int] = {}
+    paths = Paths()
     if not page:
         return blocks, paths
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, chrome, inside
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, path, chrome, inside
     text: list[str] = []
     plain = False
-    path, chrome, inside, links = "", False, False, 0
+    path, chrome, inside, links = 0, False, False, 0
 
     def flush() -> None:
         nonlocal plain
@@ -94,7 +134,7 @@ def read(page: str | None) -> tuple[list[Block], dict[str, int]]:
 
     def reset() -> None:
         nonlocal path, chrome, inside, links
-        _, path, chrome, inside = stack[-1] if stack else ("", "", False, False)
+        _, path, chrome, inside = stack[-1] if stack else ("", 0, False, False)
         links = sum(x[0] == "a" for x in stack)
 
     def pop_to(depth: int) -> None:
@@ -146,11 +186,12 @@ def read(page: str | None) -> tuple[list[Block], dict[str, int]]:
         hidden = chrome or _is_chrome(tag, attributes, inside)
         if hidden and not chrome:
             flush()
-        names = "".join(f".{w}" for w in sorted(set(re.sub(r"\d+", "#", attributes["class"]).lower().split()))) if attributes.get("class") else ""
-        here = f"{path}>{tag}{names}" if tag in BLOCK else path
+        article = tag in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
+        here = path
         if tag in BLOCK and not hidden:
-            paths[here] = paths.get(here, 0) + 1
-        stack.append((tag, here, hidden, inside or tag in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"))
+            names = "".join(f".{w}" for w in sorted(set(re.sub(r"\d+", "#", attributes["class"]).lower().replace(">", "_").split()))) if attributes.get("class") else ""
+            here = paths.enter(path, tag + names, article)
+        stack.append((tag, here, hidden, inside or article))
         reset()
     flush()
     return blocks, paths
@@ -160,63 +201,89 @@ def _token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) >> 1
 
 
-def main_text(page: str | None, template: set[int] = frozenset()) -> str:
-    """Blocks of the article joined by newlines.  Without an article or main element: all blocks but link
-    lists and the template's texts."""
-    blocks, _ = read(page)
-    if any(b.inside for b in blocks):
-        return "\n".join(b.text for b in blocks if b.inside)
-    return "\n".join(b.text for b in blocks if not b.linked and _token(b.path, b.text) not in template)
+_PROSE = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")
 
 
-def host_templates(pages: DataFrame, min_pages: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(host, template array<long>): text tokens of valid classes.  pages: host, page (any random-like long
-    that tells pages apart), html.  A class must span min_pages pages and min_share of its host's pages, so a
-    host's template stays within 1 / min_share times what its pages hold on average."""
+def main_text(page: str | None, regions: set[int] | frozenset[int] = frozenset(), wording: set[int] | frozenset[int] = frozenset()) -> str:
+    """Blocks of the region joined by newlines.  ``regions``: tokens of the host's paths that may be the region, the
+    innermost that the page has counts; ``wording``: tokens of the template's texts."""
+    blocks, paths = read(page)
+    if not blocks:
+        return ""
+    region = max((k for k in range(1, len(paths.names)) if paths.count[k] == 1 and regions and _token(paths.names[k], "") in regions), key=lambda k: paths.names[k].count(">"), default=None)
+    if region is not None:
+        region = next((k for k in paths.upwards(region) if paths.whole[k]), region)
+        narrow = not paths.names[region].rpartition(">")[2].startswith(("html", "body"))
+        chosen = [b for b in blocks if region in paths.upwards(b.path)] if narrow else None
+    else:
+        chosen = [b for b in blocks if b.inside]
+    if not chosen:  # the whole body, less lists of links
+        chosen = [b for b in blocks if not b.linked or paths.names[b.path].rpartition(">")[2].startswith(_PROSE)]
+    own = [b for b in chosen if _token(paths.names[b.path], b.text) not in wording] if wording else chosen
+    return "\n".join(b.text for b in own or chosen)  # a page of the template's wording alone is not explained by it
+
+
+def page_tokens(page: str | None) -> list[tuple[int, bool, int, int, int]]:
+    """(token, is structure, count, prose inside, prose of the page) of each token; the page as a whole is token 0."""
+    blocks, paths = read(page)
+    prose = [0] * len(paths.names)
+    seen: dict[int, int] = {}
+    for b in blocks:
+        token = _token(paths.names[b.path], b.text)
+        seen[token] = seen.get(token, 0) + 1
+        if not b.linked:
+            for k in paths.upwards(b.path):
+                prose[k] += len(b.text)
+    out = [(0, True, 1, prose[0], prose[0])]
+    out += [(_token(paths.names[k], ""), True, paths.count[k], prose[k], prose[0]) for k in range(1, len(paths.names))]
+    return out + [(token, False, n, 0, 0) for token, n in seen.items()]
+
+
+def host_templates(pages: DataFrame, min_pages: int = 4, min_share: float = 0.5) -> DataFrame:
+    """(host, regions array<long>, wording array<long>).  pages: host (long), page (a random-like long, the same for
+    equal pages), html.  A class must span min_pages distinct pages and min_share of its host's, so a template
+    holds at most 1 / min_share times what the host's pages hold on average."""
 
     def tokens(batches):
         for batch in batches:
-            rows = []
-            for host, page, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                blocks, paths = read(html)
-                rows.append((host, 0, True, page, 1))
-                rows += [(host, _token(path, ""), True, page, n) for path, n in paths.items()]
-                seen: dict[int, int] = {}
-                for b in blocks:
-                    if not b.inside:
-                        t = _token(b.path, b.text)
-                        seen[t] = seen.get(t, 0) + 1
-                rows += [(host, t, False, page, n) for t, n in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "structure", "page", "n"])
-
-    each = pages.select("host", "page", "html").mapInArrow(tidy(tokens), "host string, token long, structure boolean, page long, n long")
-    vectors = each.groupBy("host", "token", "structure").agg(F.sum(F.col("page").cast("decimal(38,0)") * F.col("n")).alias("vector"), F.count(F.lit(1)).alias("pages"))
-    classes = vectors.groupBy("host", "vector").agg(F.max("structure").alias("valid"), F.max("pages").alias("pages"), F.max(F.col("token") == 0).alias("root"), F.collect_set(F.when(~F.col("structure"), F.col("token"))).alias("texts")).where(F.col("valid") & (F.col("pages") >= min_pages))
-    totals = vectors.where("token = 0 and structure").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"))
-    kept = classes.where(F.size("texts") > 0).join(totals, F.col("host") == F.col("h")).where(F.col("pages") >= F.col("all_pages") * min_share)
-    return kept.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template"))
-
-
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3) -> DataFrame:
+            rows = [(host, page, *t) for host, page, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for t in page_tokens(html)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "page", "token", "structure", "n", "prose", "total"])
+
+    each = pages.select("host", "page", "html").mapInArrow(tidy(tokens, 256), "host long, page long, token long, structure boolean, n int, prose long, total long")
+    distinct = each.groupBy("host", "token", "structure", "page").agg(F.max("n").alias("n"), F.max("prose").alias("prose"), F.max("total").alias("total"))
+    sums = [F.sum(F.col("page").cast("decimal(38,0)") * F.col("n")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"), F.sum("prose").alias("prose"), F.sum("total").alias("total")]
+    vectors = distinct.groupBy("host", "token", "structure").agg(*sums).where(F.col("pages") >= min_pages)
+    spans = vectors.where("token = 0").select(F.col("host").alias("h"), F.col("pages").alias("of"))
+    frequent = vectors.join(spans, F.col("host") == F.col("h")).where(F.col("pages") >= F.col("of") * min_share)
+    region = F.when(F.col("structure") & (F.col("token") != 0) & (F.col("times") == F.col("pages")) & (F.col("prose") * 2 >= F.col("total")), F.col("token"))
+    classes = frequent.groupBy("host", "vector").agg(F.max("structure").alias("valid"), F.collect_list(region).alias("regions"), F.collect_list(F.when(~F.col("structure"), F.col("token"))).alias("wording")).where("valid")
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("regions")).alias("regions"), F.flatten(F.collect_list("wording")).alias("wording"))
+
+
+#: Bytes of templates up to which they are sent to all executors, so that pages need not move.
+_SENT = 32 << 20
+
+
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4) -> DataFrame:
     """id, url, text, n_chars (code points) of every row.
 
-    Null or empty html gives an empty text.  Pages without a host share no template; repeated rows stay
-    repeated; other columns are ignored.  Empty input: no rows.
+    Null or empty html gives an empty text.  Pages without a host share no template, and equal pages of a host
+    count once when it is deduced; repeated rows stay repeated; other columns are ignored.  Empty input: no rows.
     """
-    rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), url_host(F.col(f"`{url_col}`")).alias("_host"), F.col(f"`{html_col}`").alias(free_name([id_col, url_col], "_html")))
+    host = url_host(F.col(f"`{url_col}`"))
+    rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), F.when(host != "", F.xxhash64(host)).alias("_host"), F.col(f"`{html_col}`").alias(free_name([id_col, url_col], "_html")))
     html = rows.columns[3]
-    outside = rows.where((F.col("_host") != "") & F.col(html).isNotNull())
-    templates = checkpoint(host_templates(outside.select(F.col("_host").alias("host"), F.shiftrightunsigned(F.xxhash64(id_col, url_col), 2).alias("page"), F.col(html).alias("html")), min_pages).withColumnsRenamed({"host": "_of", "template": "_template"}))
-    # Checkpointed, so that the join has a plain exchange on either side and a hot host can be split; where no
-    # host has template texts, pages need not move at all.
-    if templates.isEmpty():
-        joined = rows.select(id_col, url_col, html, F.lit(None).cast("array<long>").alias("_template"))
-    else:
-        joined = rows.join(templates, F.col("_host") == F.col("_of"), "left").select(id_col, url_col, html, "_template")
+    hosted = rows.where(F.col("_host").isNotNull() & F.col(html).isNotNull())
+    templates = host_templates(hosted.select(F.col("_host").alias("host"), F.shiftrightunsigned(F.xxhash64(html), 2).alias("page"), F.col(html).alias("html")), min_pages)
+    # Checkpointed, so that the join has a plain exchange on either side and a hot host can be split.
+    templates = checkpoint(templates.select(F.col("host").alias("_of"), F.col("regions").alias("_regions"), F.col("wording").alias("_wording")))
+    size = templates.agg(F.coalesce(F.sum(64 + 8 * (F.size("_regions") + F.size("_wording"))), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(templates) if size <= _SENT else templates, F.col("_host") == F.col("_of"), "left").select(id_col, url_col, html, "_regions", "_wording")
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, frozenset(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(h, frozenset(r or ()), frozenset(w or ())) for h, r, w in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    return joined.mapInArrow(tidy(run), f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")
+    return joined.mapInArrow(tidy(run, 256), f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")

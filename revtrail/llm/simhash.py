@@ -209,7 +209,7 @@ def link_fingerprints(distinct: DataFrame, links: int = 4, *, per_shard: int = 1
         has = np.flatnonzero(at != np.arange(len(x)))
         return pa.table({"a": x[has].view(np.int64), "b": x[at[has]].view(np.int64)})
 
-    spread = distinct.select("fp").mapInArrow(tidy(dealt), "shard int, fp long, home boolean").repartition(count, "shard")
+    spread = distinct.select("fp").mapInArrow(tidy(dealt), "shard int, fp long, home boolean").repartition(4 * count, "shard")
     return components(spread.groupBy("shard").applyInArrow(linked, "a long, b long"))
 
 

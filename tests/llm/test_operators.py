@@ -323,15 +323,83 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df, rules, redirects=more).where("page_id = 9").first()["verdict"] == "block"
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, host int, template string")
+    return [(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(df).collect()]
+
+
 def test_html(spark):
     article = "<html><body><nav>Menu</nav><article><h1>Head &amp; more</h1><p>One  two<p>Three <i>four</i><div class='ad'>Buy</div></article><div id=comments>Nice</div><footer>F</footer>"
-    plain = "<body><div class=top><p>Same on all</p></div><div class=story><p>{0}</p></div><ul><li><a href=x>Link {0}</a></ul></body>"
-    rows = [(1, "http://h/1", article), (2, "http://h/2", None), (3, None, ""), (1, "http://h/1", article)] + [(10 + i, f"http://p/{i}", plain.format(f"Story {i}")) for i in range(5)]
-    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, host int, template string")
-    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(df).collect()]
+    plain = "<body><div class=top><p>Same on all</p></div><div class=story><p>Story {0} goes on for a while here</p></div><ul><li><a href=x>Link {0}</a></ul></body>"
+    rows = [(1, "http://h/1", article), (2, "http://h/2", None), (3, None, ""), (1, "http://h/1", article), (4, "http://h/4", "<p>" + "long " * 200_000)] + [(10 + i, f"http://p/{i}", plain.format(i)) for i in range(5)]
     main = "Head & more\nOne two\nThree four"
-    assert Counter(got) == Counter([(1, main, len(main))] * 2 + [(2, "", 0), (3, "", 0)] + [(10 + i, f"Story {i}", 7) for i in range(5)])
-    assert html_extract.extract_pages(df.limit(0)).count() == 0
+    assert Counter(extracted(spark, rows)) == Counter([(1, main, len(main))] * 2 + [(2, "", 0), (3, "", 0), (4, ("long " * 200_000).strip(), 999_999)] + [(10 + i, f"Story {i} goes on for a while here", 32) for i in range(5)])
+    assert extracted(spark, rows[1:3]) == [(2, "", 0), (3, "", 0)] and extracted(spark, []) == []
+
+
+def test_names_must_fit_as_a_whole():
+    page = "<article><p>Lead</p><div class='share-price'><p>The share price rose.</p></div><section class='comment-on-law'>On law</section><div class='share-buttons'>Share</div><div class='related-posts wide'>Other</div><div id=cookie_notice>Cookies</div><p class=social-contract>Rousseau</p></article>"
+    assert html_extract.main_text(page) == "Lead\nThe share price rose.\nOn law\nRousseau"
+    linked = "<body><ul><li><a href=a>Elsewhere</a></li></ul><p><a href=b>All of this paragraph is a link</a></p></body>"
+    assert html_extract.main_text(linked) == "All of this paragraph is a link"
+
+
+def site(i, wording="Read more on our site today", lead="p"):
+    return f"<body><div class=bar><p>Short {i}</p></div><div class=wrap><div class=text><h2>Title {i}</h2><{lead}>Page number {i} tells a story that no other page of the site tells.</{lead}><p>{wording}</p></div></div><div class=end><p>Words {i} at the end</p></div></body>"
+
+
+def test_template_decides_regions_and_wording(spark):
+    rows = [(i, f"http://a.test/{i}", site(i)) for i in range(6)]
+    text = "Title {0}\nPage number {0} tells a story that no other page of the site tells."
+    got = {i: t for i, t, _ in extracted(spark, rows)}
+    assert got == {i: text.format(i) for i in range(6)}
+    assert html_extract.main_text(rows[0][2]) == "Short 0\n" + text.format(0) + "\nRead more on our site today\nWords 0 at the end"  # without a template
+    articles = [(i, u, h.replace("div class=text", "article").replace("</div></div>", "</article></div>", 1)) for i, u, h in rows]
+    assert {i: t for i, t, _ in extracted(spark, articles)} == got
+    assert html_extract.main_text(articles[0][2]) == text.format(0) + "\nRead more on our site today"
+    few = extracted(spark, articles[:3])
+    assert sorted(t for _, t, _ in few) == [text.format(i) + "\nRead more on our site today" for i in range(3)]
+
+
+def test_copies_are_no_template(spark):
+    """Equal pages count once; a page that is all wording stays; half the host's pages must share a wording."""
+    same = [(i, f"http://b.test/{i}", site(0)) for i in range(9)]
+    assert {t for _, t, _ in extracted(spark, same)} == {html_extract.main_text(site(0))}
+    mixed = same + [(100 + i, f"http://b.test/x{i}", site(i, wording=f"Own {i}" if i < 5 else "Shared")) for i in range(1, 9)]
+    got = {i: t for i, t, _ in extracted(spark, mixed)}
+    assert got[0].endswith("Read more on our site today") and got[101].endswith("Own 1") and got[108].endswith("Shared")
+
+
+def test_templates_against_occurrence_vectors(spark):
+    rng = random.Random(6)
+    pages = []
+    for n in range(40):
+        host = rng.choice([1, 1, 2, 3])
+        body = "".join(rng.choice(["<p>a</p>", "<p>b</p>", "<div class=x><p>c</p></div>", "<section><h2>d</h2></section>", f"<p>own {n} words</p>"]) for _ in range(rng.randrange(1, 6)))
+        pages.append((host, n, f"<body><div class=top>Top {host}</div><main>{body}</main></body>"))
+    pages += [(1, pages[0][1], pages[0][2])] * (pages[0][0] == 1)
+    got = {r["host"]: (sorted(r["regions"]), sorted(r["wording"])) for r in html_extract.host_templates(spark.createDataFrame(pages, "host long, page long, html string")).collect()}
+    want = {}
+    for host in (1, 2, 3):
+        own = dict((n, h) for o, n, h in pages if o == host)
+        vectors: dict = {}
+        for n, html in own.items():
+            for token, structure, count, prose, total in html_extract.page_tokens(html):
+                vectors.setdefault((token, structure), {})[n] = (count, prose, total)
+        regions, wording = [], []
+        for (token, structure), v in vectors.items():
+            if len(v) < 4 or len(v) < len(own) / 2:
+                continue
+            alike = [s for (_, s), w in vectors.items() if {k: x[0] for k, x in w.items()} == {k: x[0] for k, x in v.items()}]
+            if not any(alike):
+                continue
+            if not structure:
+                wording.append(token)
+            elif token and all(x[0] == 1 for x in v.values()) and 2 * sum(x[1] for x in v.values()) >= sum(x[2] for x in v.values()):
+                regions.append(token)
+        if regions or wording:
+            want[host] = (sorted(regions), sorted(wording))
+    assert got == want and any(w for _, w in want.values())
 
 
 def test_licenses(spark):
