@@ -259,14 +259,35 @@ def test_top_k(spark):
     rows = [(i, rng.normal(size=12).tolist(), 1, 2) for i in range(300)]
     rows += [(300, rows[0][1], 1, 2), (301, None, 1, 2), (350, [1.0, None], 1, 2), (352, [float("nan")] * 12, 1, 2), (353, [float("inf")] * 12, 1, 2), (None, rows[1][1], 1, 2), (354, [], 1, 2), (355, [1.0], 1, 2), (7, rows[7][1], 1, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, rank int")
-    got = [tuple(r) for r in topk.exact_top_k(df, candidate_block=64, query_block=4).collect()]
+    many = [sorted(tuple(r) for r in topk.exact_top_k(df, wave=w, lead_share=s, nodes=n).collect()) for w, s, n in ((3, 2, 4), (4096, 1000, 1), (4096, 1, 12))]
     vec = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, v in {i: v for i, v in vec if i % 50 == 0}.items():
         scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in vec if i != q))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    assert sorted(got) == sorted(want)
+    assert many == [sorted(want)] * 3
     assert topk.exact_top_k(df.limit(0)).count() == 0 and topk.exact_top_k(df.where("vec_id in (0, 1)")).count() == 1
+    exact = [(i, [2**30 + i, -(2**29), 3 * i]) for i in range(200)]  # products that doubles do not hold
+    big = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in exact], "vec_id long, embedding array<double>")
+    want = [(q, k + 1, i, -s) for q in (0, 100) for k, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(exact[q][1], v)), i) for i, v in exact if i != q)[:5])]
+    assert sorted(tuple(r) for r in topk.exact_top_k(big, scale=1, query_modulus=100).collect()) == sorted(want)
+
+
+def test_cutoffs_save_products():
+    """Against scoring all of them: the same answer for less than all components, of ids in any order."""
+    rng = np.random.default_rng(2)
+    c = np.floor(256 * rng.normal(size=(20_000, 64)) * rng.exponential(size=(20_000, 1)))
+    ids, at = rng.permutation(20_000), np.arange(0, 20_000, 400)
+    lead = topk.Search(ids[at], c[at], 5, 4)
+    lead.list_nodes(ids[::64], c[::64])
+    search = topk.Search(ids[at], c[at], 5, 4, lead.cutoff)
+    for a in range(0, 20_000, 1024):
+        search.scan(ids[a : a + 1024], c[a : a + 1024])
+    score = (c[at] @ c.T).astype(np.int64)
+    for i, q in enumerate(ids[at]):
+        want = [(int(s), int(x)) for s, x in sorted(zip(score[i].tolist(), ids.tolist(), strict=True), key=lambda p: (-p[0], p[1])) if x != q][:5]
+        assert list(zip(search.score[i].tolist(), search.found[i].tolist(), strict=True)) == want
+    assert search.products < 0.5 * c.size * len(at)
 
 
 # ---- models ----------------------------------------------------------------------------------------------
