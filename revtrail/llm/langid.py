@@ -8,20 +8,17 @@ language whose prototype has the largest cosine with it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, free_name, tidy
 
-#: Letters are Unicode's (categories Lu, Ll, Lt, Lm, Lo); what a regex takes for a word character besides them,
-#: digits and the underscore are other numerals.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NO_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_NO_LETTERS = regex.compile(r"\P{L}+")
 
 
 class Encoder:
