@@ -70,10 +70,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: the directories of a path are the document's source and language."""
+    """Documents as a tree of files: source / language / id modulo 50 / id.  A document of under 200 characters that
+    speaks of a license is named LICENSE, and of these every other one lies a folder higher."""
     from .license_scan import scan_licenses
 
-    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    short = (F.char_length("text") < 200) & F.contains(F.lower("text"), F.lit("licens"))
+    folder = F.when(~(short & (F.col("doc_id") % 2 == 0)) | short.isNull(), (F.col("doc_id") % 50).cast("string"))
+    path = F.concat_ws("/", "source", "lang", folder, F.when(short, "LICENSE").otherwise(F.col("doc_id").cast("string")))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
     return scan_licenses(files, keep=["doc_id", "path"])
 
 

@@ -2,6 +2,7 @@
 repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -424,8 +425,64 @@ def test_templates_against_occurrence_vectors(spark):
 
 
 def test_licenses(spark):
-    rows = [("a/LICENSE", "Released under the MIT License.\nfoo bar"), ("a/b/x.py", "code"), ("a/b/c/y.py", "# header\nLicensed under CC BY-NC 4.0.\nmore words that follow it"), ("z/w", "nothing"), (None, "q"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/d/e", "t"), ("top", None), ("a/b/x.py", "code")]
+    rows = [("a/LICENSE", "Released under the MIT License.\nfoo bar"), ("a/b/x.py", "code"), ("a/b/c/y.py", "# header\nLicensed under CC BY-NC 4.0.\nmore words that follow it"), ("z/w", "nothing"), (None, "q"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/d/e", "t"), ("top", None), ("a/b/x.py", "code"), ("z/long", "word " * 300_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "path string, text string, license int")
     got = Counter((r["path"], r["license"], r["origin"], r["license_dir"]) for r in license_scan.scan_licenses(df).collect())
-    assert got == Counter([("a/LICENSE", "MIT", "file", None), ("a/b/x.py", "GPL-3.0", "inherited", "a/b"), ("a/b/x.py", "GPL-3.0", "inherited", "a/b"), ("a/b/c/y.py", "CC-BY-NC-4.0", "statement", None), ("z/w", None, "none", None), (None, None, "none", None), ("a/b/COPYING", "GPL-3.0", "file", None), ("a/b/c/d/e", "GPL-3.0", "inherited", "a/b"), ("top", None, "none", None)])
+    assert got == Counter([("a/LICENSE", "MIT", "file", None), ("a/b/x.py", "GPL-3.0", "inherited", "a/b"), ("a/b/x.py", "GPL-3.0", "inherited", "a/b"), ("a/b/c/y.py", "CC-BY-NC-4.0", "statement", None), ("z/w", None, "none", None), (None, None, "none", None), ("a/b/COPYING", "GPL-3.0", "file", None), ("a/b/c/d/e", "GPL-3.0", "inherited", "a/b"), ("top", None, "none", None), ("z/long", None, "none", None)])
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def whole_license(name, words):
+    return next(t for n, t in license_scan.TEMPLATES if n == name and len(t.split()) > words)
+
+
+def wrapped(text, mark=""):
+    w = text.split()
+    return "\n".join(f"{mark}{' '.join(w[i : i + 11])}" for i in range(0, len(w), 11))
+
+
+def test_license_files_headers_and_identifiers(spark):
+    mit, bsd, gpl = whole_license("MIT", 100), whole_license("BSD-3-Clause", 200), whole_license("GPL-3.0", 80)
+    rows = [
+        ("m/LICENSE.txt", f"MIT License\n\nCopyright (c) 2020 Some One\n\n{wrapped(mit)}", "MIT", "file"),
+        ("m/src/a.py", "x = 1", "MIT", "inherited"),
+        ("b/x.c", f"/*\n * Copyright 2019 Some One\n *\n{wrapped(bsd, ' * ')}\n */\nint main() {{ return 0; }}\n" + "int f();\n" * 50, "BSD-3-Clause", "statement"),
+        ("b/y.c", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0", "statement"),
+        ("b/z.c", "# SPDX-License-Identifier: Unheard-1.0\nint x;", None, "none"),
+        ("b/w.py", f"{wrapped(gpl, '# ')}\n\nimport os\n" + "class Harbor: lamps, boats, ropes = 1, 2, 3\n" * 9, "GPL-3.0", "statement"),
+        ("b/v.py", "the license of this building is on the wall, see the terms of the lease", None, "none"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
+    got = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan_licenses(df).collect()}
+    assert got == {p: (name, origin) for p, _, name, origin in rows}
+
+
+def test_license_scores_against_all_cosines(spark):
+    """Every passage against every template by dense vectors over all terms."""
+    rng = random.Random(7)
+    own = [t for _, t in license_scan.TEMPLATES]
+    texts = []
+    for i in range(60):
+        words = rng.choice(own).split()
+        kept = [w for w in words if rng.random() > rng.choice([0.0, 0.2, 0.5])]
+        texts.append("\n".join([prose(i, 12), " ".join(kept), *(["", prose(i + 1, 30)] * (i % 2))]))
+    texts += [None, "", "\n\n", own[0] + "\n" + own[0]]
+    count = Counter(t for x in texts if x for t in set(license_scan.terms(x)))
+    idf = lambda t, n=len(texts): math.log((1 + n) / (1 + count.get(t, 0))) + 1
+    vocabulary = {t for x in own for t in license_scan.terms(x)}
+    weight = lambda t: idf(t) if t in vocabulary else idf("")
+
+    def cosine(a, b):
+        x, y = ({t: (1 + math.log(n)) * weight(t) for t, n in Counter(license_scan.terms(s)).items()} for s in (a, b))
+        return sum(v * y.get(t, 0) for t, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    want = {}
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        parts = [p for p in [*(p for _, p in license_scan.passages(low)), low] if license_scan.terms(p)]
+        score, name = max(((round(cosine(p, t), 9), -k) for p in parts for k, t in enumerate(own)), default=(0, 0))
+        want[i] = (license_scan.TEMPLATES[-name][0], score) if score >= 0.75 else (None, 0.0)
+    df = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    got = {r["path"]: (r["license"] if r["origin"] != "inherited" else None, round(r["score"], 9)) for r in license_scan.scan_licenses(df, keep=["path"]).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert [(k, got[k], want[k]) for k in got if got[k][0] != want[k][0]] == [] and sum(v[0] is not None for v in got.values()) > 30
