@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, blocks_for, checkpoint, free_name, tidy
+from .common import LOWER_ASCII, blocks_for, checkpoint, free_name, give_back, tidy
 from .components import components
 
 
@@ -235,21 +235,25 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 #
 # At a similarity of 0.8 unrelated and similar texts differ in too many bits for Hamming vantage points: with
 # 128 bits a similar pair differs in up to 32 or so, and the distances of unrelated texts to any vantage spread
-# by only 5.7 around 64, so the boundary band is everything.  The vantage point that does prune is the empty
-# text: the distance to it is the number of shingles, and sets with a Jaccard similarity of s or more have sizes
-# within a factor 1/s.  Sizes are cut into bands of that factor; a text visits the band below its own.
+# by only 5.7 around 64, so the boundary band is everything.  Candidates come by rare shingles instead: of the
+# _SAMPLE smallest hashes of a text those that no other text has among its own come first, then the rarest;
+# sets that are similar must share one of the first few.  A text of which more than that few are its own goes no
+# further, however many passages it shares.  Texts that share one are chained into clusters, and within a
+# cluster the fingerprints choose the pairs whose whole sets are compared.
 
 _SKETCH = 128
-
-
+#: Smallest hashes of a text that candidates are found by, and how many of them, by rarity, are looked up: of 24
+#: two sets of similarity 0.8 share 19.2 +- 2, and fewer than 12 less than twice in ten thousand times.  Sets of no
+#: more than _SAMPLE have all of theirs, and as many are looked up as similar sets cannot all miss.
+_SAMPLE, _LOOKED_UP = 24, 13
 #: A pair of at least the wanted similarity is estimated lower by this much once in some ten million times.
 _MARGIN = 0.2
 #: Shingles in a block whose whole sets are compared.
 _BLOCK_SHINGLES = 1 << 22
 
 
-def _profile(text: str, k: int, most: int | None = _SKETCH) -> tuple[int, int, int, bytes]:
-    """Distinct shingles, two 64-bit fingerprints of them, and the ``most`` smallest hashes (whole set if few)."""
+def _profile(text: str, k: int, most: int | None = None) -> tuple[int, int, int, bytes]:
+    """Distinct shingles, two 64-bit fingerprints of them, and the ``most`` smallest hashes (all if None)."""
     h = np.unique(shingle_hashes(text, k))
     if not len(h):
         return 0, 0, 0, b""
@@ -280,25 +284,22 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.ndarray, right: np.ndarray, similarity: float, bits: int, whole_sets: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A spanning forest of the similar pairs between positions left and right, of texts that have words, and the
-    positions whose pairs the sketches cannot decide.  Pairs already connected are not weighed again, so a group
-    of copies costs no more than its links.
+def link_similar(n: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs between positions left and right, of texts that have words.  ``sets``:
+    sorted shingle hashes.  Pairs already connected are not weighed again, so a group of copies costs no more than
+    its links.
 
-    Pairs of texts whose sketches are whole are all found, by the hashes that similar sets must share among their
-    smallest, and decided exactly.  Of the others those within ``bits`` are estimated, and both texts of a pair
-    within _MARGIN are undecided.  With ``whole_sets`` ``sketch`` holds whole sets, and just these others are
-    decided, exactly.
+    Pairs of sets of fewer than _SKETCH hashes are found by those that similar sets must share among their
+    smallest.  Of the others those of fitting size within ``bits`` of fingerprint are estimated by their smallest
+    hashes, and what is at most _MARGIN lower than wanted is decided on the whole sets.
     """
-    none = np.zeros(0, np.int64)
     if not len(left) or not len(right):
-        return [], none
-    sets = [np.frombuffer(raw, "<u8") for raw in sketch]
+        return []
     size = np.minimum([len(x) for x in sets], _SKETCH)
-    rows = np.full((len(sketch), _SKETCH), 2**64 - 1, np.uint64)
+    rows = np.full((len(sets), _SKETCH), 2**64 - 1, np.uint64)
     for x, own in zip(rows, sets, strict=True):
         x[: min(len(own), _SKETCH)] = own[:_SKETCH]
-    whole, undecided = n < _SKETCH, np.zeros(len(n), bool)
+    whole = n < _SKETCH
     parent = np.arange(len(n))
     out: list[tuple[int, int]] = []
 
@@ -311,16 +312,12 @@ def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.nd
 
     def similar(i: int, others: np.ndarray) -> np.ndarray:
         found = _similarities(rows, size, i, others)
-        if not whole_sets:
-            return found >= similarity
-        found = found >= similarity - _MARGIN
-        for p in np.flatnonzero(found):
+        exact = whole[i] & whole[others]
+        found = np.where(exact, found >= similarity, found >= similarity - _MARGIN)
+        for p in np.flatnonzero(found & ~exact):
             found[p] = _jaccard(sets[i], sets[others[p]]) >= similarity
         return found
 
-    def fitting(i: int, near: np.ndarray) -> np.ndarray:
-        return near[np.minimum(n[i], n[near]) >= similarity * np.maximum(n[i], n[near])]
-
     def join(i: int, near: np.ndarray) -> None:
         root = roots(near)
         fits = (root != roots(np.array([i]))[0]) & (np.minimum(n[i], n[near]) >= similarity * np.maximum(n[i], n[near]))
@@ -340,90 +337,128 @@ def link_similar(n: np.ndarray, fp: np.ndarray, sketch: list[bytes], left: np.nd
             alike = similar(i, near)  # all that are left, in one go
             near, root = near[alike], root[alike]
 
-    def doubt(i: int, near: np.ndarray) -> None:
-        near = fitting(i, near)
-        for part in (near[:64], near[64:]):
-            if undecided[i]:  # pairs of two undecided texts are weighed anyway
-                part = part[~undecided[part]]
-            if len(part):
-                close = part[_similarities(rows, size, i, part) >= similarity - _MARGIN]
-                undecided[close] = True
-                undecided[i] |= len(close) > 0
-
-    if not whole_sets:
-        few = right[whole[right]]
-        first_hashes = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-        among = np.arange(_SKETCH) < first_hashes[few, None]
-        hashes, owners = rows[few][among], np.repeat(few, first_hashes[few])
-        ascending = np.argsort(hashes, kind="stable")
-        hashes, owners = hashes[ascending], owners[ascending]
-        for i in left[whole[left]]:
-            wanted = rows[i, : first_hashes[i]]
-            lo, hi = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
-            if (hi - lo).sum() > len(few):
-                near = few[roots(few) != roots(np.array([i]))[0]]
-                if len(near) <= 2048:
-                    join(i, near)
-                    continue
-            near = np.concatenate([none, *[owners[x:y] for x, y in zip(lo, hi, strict=True) if y > x]])
-            near = np.unique(near[roots(near) != roots(np.array([i]))[0]])
-            if len(near):
+    few = right[whole[right]]
+    first_hashes = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    among = np.arange(_SKETCH) < first_hashes[few, None]
+    hashes, owners = rows[few][among], np.repeat(few, first_hashes[few])
+    ascending = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[ascending], owners[ascending]
+    for i in left[whole[left]]:
+        wanted = rows[i, : first_hashes[i]]
+        lo, hi = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+        if (hi - lo).sum() > len(few):
+            near = few[roots(few) != roots(np.array([i]))[0]]
+            if len(near) <= 2048:
                 join(i, near)
+                continue
+        near = np.concatenate([few[:0], *[owners[x:y] for x, y in zip(lo, hi, strict=True) if y > x]])
+        near = np.unique(near[roots(near) != roots(np.array([i]))[0]])
+        if len(near):
+            join(i, near)
 
     order = right[np.argsort(n[right], kind="stable")]
     sizes, values = n[order], fp[order]
     left = left[np.argsort(n[left], kind="stable")]
     for at in range(0, len(left), 128):
         block = left[at : at + 128]
+        if whole[block].all() and whole[order].all():
+            continue
         lo, hi = np.searchsorted(sizes, int(n[block[0]] * similarity), "left"), np.searchsorted(sizes, int(n[block[-1]] / similarity) + 1, "right")
         apart = np.bitwise_count(fp[block, None, 0] ^ values[None, lo:hi, 0]) + np.bitwise_count(fp[block, None, 1] ^ values[None, lo:hi, 1])
         for i, found in zip(block, apart <= bits, strict=True):
             near = order[lo + np.flatnonzero(found)]
             near = near[(near != i) & ~(whole[i] & whole[near])]
             if len(near):
-                (join if whole_sets else doubt)(i, near)
-    return out, np.flatnonzero(undecided)
-
-
-def _links(texts: DataFrame, similarity: float, bits: int, block: int, whole_sets: bool) -> DataFrame:
-    """(a, b) of similar keys, and (key, null) of keys that are undecided.  texts: key, n, f1, f2, sketch."""
-    spark = texts.sparkSession
-    texts = texts.withColumn("band", F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity)) + 1e-9)).otherwise(-9).cast("int"))
-    counts = {r[0]: (r[1], r[2] if whole_sets else 0) for r in texts.groupBy("band").agg(F.count(F.lit(1)), F.sum("n")).collect()}
-    both = {b: [x + y for x, y in zip(c, counts.get(b + 1, (0, 0)), strict=True)] for b, c in counts.items()}
-    blocks = spark.createDataFrame([(b, max(blocks_for(rows, block), blocks_for(shingles, _BLOCK_SHINGLES))) for b, (rows, shingles) in both.items()] or [(-9, 1)], "band int, blocks int")
-    # A home text meets every block of its band and of the visitors: rows (band, block of left, block of right).
-    own, below = F.struct("band", F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home"))
-    placed = texts.select("key", "n", "f1", "f2", "sketch", F.explode(F.when(F.col("band") > -9, F.array(own, below)).otherwise(F.array(own))).alias("in")).select("key", "n", "f1", "f2", "sketch", "in.*").join(F.broadcast(blocks), "band").withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "n", "f1", "f2", "sketch", "band", "home", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+                join(i, near)
+    return out
 
-    def linked(t: pa.Table) -> pa.Table:
-        keys, home, at = (t.column(c).to_numpy() for c in ("key", "home", "at"))
+
+def _clusters(texts: DataFrame, similarity: float) -> DataFrame:
+    """(key, cluster) of texts that share a looked-up hash with others.  texts: key, n, low (smallest hashes)."""
+    each = texts.select("key", "n", F.explode("low").alias("h"))
+    counts = checkpoint(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    shared = counts.count()
+    known = (F.broadcast(counts) if shared * 16 <= _SENT else counts).withColumnRenamed("h", "_h")
+    common = each.join(known, F.col("h") == F.col("_h")).groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("common"))
+    sample = F.least("n", F.lit(_SAMPLE))
+    looked_up = F.when(F.col("n") > _SAMPLE, _LOOKED_UP).otherwise(F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    left = (looked_up - (sample - F.size("common"))).cast("int")  # hashes that no other text has come first
+    rows = checkpoint(common.where(left > 0).select("key", F.explode(F.slice("common", 1, left)).alias("x")).select("key", F.col("x.h").alias("h")))
+    first = checkpoint(rows.groupBy("h").agg(F.min("key").alias("first")).withColumnRenamed("h", "_h"))
+    edges = rows.join(first, F.col("h") == F.col("_h")).select(F.col("key").alias("a"), F.col("first").alias("b"))
+    return components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+
+
+#: Bytes of narrow rows up to which they are sent to all executors, so that texts need not move.
+_SENT = 32 << 20
+
+
+def _places(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(key, places array<struct<cluster, band, i, j, home, at>>): the groups in which a text is compared.  members:
+    key, n, cluster.  A cluster is one group; one too large for a task is cut into bands of sizes - similar sets
+    are at most one apart - and pairs of blocks."""
+    sizes = members.groupBy(F.col("cluster").alias("_c")).agg((F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / _BLOCK_SHINGLES)) > 1).alias("large"))
+    placed = members.join(checkpoint(sizes), F.col("cluster") == F.col("_c"))
+    band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(similarity)) + 1e-9)).otherwise(0).cast("int")
+    own, below = F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home"))
+    placed = checkpoint(placed.select("key", "n", "cluster", F.explode(F.when(F.col("large"), F.array(own, below)).otherwise(F.array(own))).alias("in")).select("key", "n", "cluster", "in.*"))
+    blocks = placed.groupBy(F.col("cluster").alias("_c"), F.col("band").alias("_b")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    known = placed.join(checkpoint(blocks), (F.col("cluster") == F.col("_c")) & (F.col("band") == F.col("_b"))).withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = known.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    place = F.struct("cluster", "band", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "home", "at")
+    return checkpoint(pairs.groupBy("key").agg(F.collect_list(place).alias("places")))
+
+
+_PLACED = "cluster string, band int, i int, j int, home boolean, at int, key string, n long, f1 long, f2 long, hashes binary"
+
+
+def _with_sets(shingle: int):
+    """Rows of a text in each of its places, with its whole set; a text that a task meets again is left out."""
+
+    def run(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            rows = []
+            for key, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    profile = _profile(text or "", shingle)
+                    rows += [(*(p[c] for c in ("cluster", "band", "i", "j", "home", "at")), key, *profile) for p in places]
+            if rows:
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cluster", "band", "i", "j", "home", "at", "key", "n", "f1", "f2", "hashes"])
+
+    return run
+
+
+def _linked(similarity: float, bits: int):
+    def run(t: pa.Table) -> pa.Table:
+        _, first = np.unique(t.column("key").to_numpy(zero_copy_only=False), return_index=True)  # once, whatever the tasks sent
+        t = t.take(pa.array(first))
+        keys = t.column("key").to_pylist()
+        home, at, n = (t.column(c).to_numpy() for c in ("home", "at", "n"))
+        fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
+        sets = [np.frombuffer(raw, "<u8") for raw in t.column("hashes").to_pylist()]
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        n = t.column("n").to_numpy()
-        undecided: set[int] = set()
-        if n.max(initial=0) == 0:
-            edges = [(0, x) for x in range(1, len(n))]
-        else:
-            fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
-            sketch, edges = t.column("sketch").to_pylist(), []
-            for x, y in ((i, j), (j, i))[: 1 + (i != j)]:
-                some, open_ = link_similar(n, fp, sketch, np.flatnonzero(home & (at == x)), np.flatnonzero(at == y), similarity, bits, whole_sets)
-                edges += some
-                undecided.update(open_.tolist())
-        return pa.table({"a": pa.array([keys[x] for x, _ in edges] + [keys[x] for x in undecided], pa.string()), "b": pa.array([keys[y] for _, y in edges] + [None] * len(undecided), pa.string())})
-
-    return pairs.groupBy("band", "i", "j").applyInArrow(linked, "a string, b string")
+        edges = []
+        for x, y in ((i, j), (j, i))[: 1 + (i != j)]:
+            edges += link_similar(n, fp, sets, np.flatnonzero(home & (at == x)), np.flatnonzero(at == y), similarity, bits)
+        out = pa.table({"a": pa.array([keys[x] for x, _ in edges], pa.string()), "b": pa.array([keys[y] for _, y in edges], pa.string())})
+        if t.nbytes > 1 << 24:
+            give_back()
+        return out
+
+    return run
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 40, block: int = 16384) -> DataFrame:
     """(text_key, keeper): per distinct text (MD5; null reads as empty) the smallest id of its group, where
     texts chain by a Jaccard similarity of their word shingles of at least ``similarity``.
 
-    Every link is decided on whole sets of shingle hashes.  Texts of fewer than 128 distinct shingles are linked
-    by their sketches, which are whole.  Of the others, bottom-128 sketches find candidates - pairs of fitting
-    size, at most ``bits`` of 128 fingerprint bits and _MARGIN of similarity away - and the whole sets of those
-    texts alone are joined back by key.  Wordless texts are one group.  Ids that are null never keep.
+    Every link is decided on whole sets of shingle hashes.  What is not exact is which pairs get there: see
+    _LOOKED_UP, and by the binomial a pair of 0.8 differs in more than ``bits`` of 128 fingerprint bits less than
+    once in a hundred thousand times.  Wordless texts are one group.  Ids that are null never keep.  Empty input:
+    no rows.
     """
     key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
 
@@ -432,29 +467,30 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows = []
             for ident, text_key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append((ident, text_key, *(_profile(text or "", shingle) if text_key not in seen else (None,) * 4)))
-                seen.add(text_key)
-            kinds = (batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "key", "n", "f1", "f2", "sketch"])
-
-    def whole(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [_profile(text or "", shingle, None) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["key", "n", "f1", "f2", "sketch"])
+                low = None
+                if text_key not in seen:
+                    seen.add(text_key)
+                    low = np.unique(shingle_hashes(text, shingle))
+                rows.append((ident, text_key, None if low is None else len(low), None if low is None else low[:_SAMPLE].view(np.int64).tolist()))
+            kinds = (batch.column(0).type, pa.string(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "key", "n", "low"])
 
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
-    each = keyed.mapInArrow(tidy(profiled), f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, f1 long, f2 long, sketch binary")
-    texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "f1", "f2", "sketch")).alias("p")).select("key", "least", "p.*"))
-    found = checkpoint(_links(texts, similarity, bits, block, False))
-    undecided = found.where(F.col("b").isNull()).select(F.col("a").alias("key")).distinct()
-    again = keyed.select("key", "text").join(undecided, "key", "left_semi").dropDuplicates(["key"])
-    edges = found.where(F.col("b").isNotNull()).unionByName(_links(checkpoint(again.mapInArrow(tidy(whole), "key string, n long, f1 long, f2 long, sketch binary")), similarity, bits, block, True))
-    groups = components(edges)
-    named = texts.select("key", "least").join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("group"))
-    keepers = named.groupBy("group").agg(F.min("least").alias("keeper"))
-    return named.join(keepers, "group").select(F.col("key").alias("text_key"), "keeper")
+    each = keyed.mapInArrow(tidy(profiled), f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, low array<long>")
+    texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "low")).alias("p")).select("key", "least", "p.*"))
+    clusters = checkpoint(_clusters(texts, similarity))
+    members = checkpoint(clusters.withColumnRenamed("key", "_k").join(texts.select("key", "n"), F.col("_k") == F.col("key")).select("key", "n", "cluster"))
+    places = _places(members, similarity, block)
+    wanted, times = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    asked = (F.broadcast(places) if wanted * 64 + times * 80 <= _SENT else places).withColumnRenamed("key", "_k")
+    sets = keyed.select("key", "text").join(asked, F.col("key") == F.col("_k")).select("key", "text", "places").mapInArrow(tidy(_with_sets(shingle), 256), _PLACED)
+    edges = sets.groupBy("cluster", "band", "i", "j").applyInArrow(_linked(similarity, bits), "a string, b string")
+    wordless = texts.where("n = 0")
+    least = wordless.agg(F.min("key")).first()[0]
+    groups = components(edges.unionByName(wordless.select(F.col("key").alias("a"), F.lit(least).cast("string").alias("b"))))
+    named = checkpoint(texts.select("key", "least").join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("group")))
+    keepers = checkpoint(named.groupBy(F.col("group").alias("_g")).agg(F.min("least").alias("keeper")))  # a plain exchange of a hot group can be split
+    return named.join(keepers, F.col("group") == F.col("_g")).select(F.col("key").alias("text_key"), "keeper")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
