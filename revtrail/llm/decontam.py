@@ -5,14 +5,16 @@ characters, joined by one space).  Every window of ``window`` consecutive item w
 side, is a pattern; the automaton reads a document once and yields every occurrence.  Word numbers of an
 occurrence map back to character offsets of the original text.
 
-The automaton is broadcast.  Its size is bounded by ``max_pattern_bytes``: larger benchmarks are cut into
-several automata, and the document passes one map stage for each, adding to the hits so far.
+The automaton is broadcast.  Its size is bounded by ``max_pattern_bytes``: a larger benchmark is dealt by a hash
+of the item into shards, of which the driver holds one at a time, and the documents pass one map stage for each,
+adding to the hits so far.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, tidy
+from .common import LOWER_ASCII, blocks_for, checkpoint, tidy
 
 #: Bytes that are no part of a word become a space; A-Z become a-z.
 _WORD_BYTES = bytes(LOWER_ASCII[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -31,25 +33,21 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-def automata(items: list[tuple[str, str | None]], window: int, max_pattern_bytes: int) -> list[tuple[ahocorasick.Automaton, list[list[str]]]]:
-    """[(automaton over latin-1 decoded normal text, item ids of each pattern number)]."""
+def automaton(items: Iterable[tuple[str, str | None]], window: int) -> tuple[ahocorasick.Automaton, list[list[str]]] | None:
+    """(automaton over latin-1 decoded normal text, item ids of each pattern number); None without any pattern."""
     owners: dict[bytes, set[str]] = {}
     for item_id, text in items:
         w = words(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
             owners.setdefault(b" %b " % b" ".join(w[i : i + window]), set()).add(item_id)
-    out, size = [], max_pattern_bytes + 1
+    if not owners:
+        return None
+    auto, known = ahocorasick.Automaton(), []
     for pattern, ids in owners.items():
-        if size + len(pattern) > max_pattern_bytes:
-            out.append((ahocorasick.Automaton(), []))
-            size = 0
-        auto, known = out[-1]
         auto.add_word(pattern.decode("latin-1"), (len(known), len(pattern), pattern.count(b" ") - 1))
         known.append(sorted(ids))
-        size += len(pattern)
-    for auto, _ in out:
-        auto.make_automaton()
-    return out
+    auto.make_automaton()
+    return auto, known
 
 
 def scan(w: list[bytes], auto: ahocorasick.Automaton, known: list[list[str]]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -82,26 +80,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """``docs`` without ``text_col`` (with it and ``hit_spans`` if ``spans``), plus n_words, n_hit, n_items,
     items_sha256, contaminated.  Those names replace columns of the same name.
 
-    Null or wordless texts have no words and no hits.  Items with a null id are no items; repeated items count
-    once.  ``hit_spans`` are merged [start, end) character offsets of hit words in the original text.
-    An empty benchmark yields no hits.
+    Null or wordless texts have no words and no hits; repeated documents stay repeated.  Items with a null id are
+    no items; repeated items count once; the order of items is that of their ids as strings, so there are no ties.
+    ``hit_spans`` are merged [start, end) character offsets of hit words in the original text.  An empty benchmark
+    yields no hits, an empty table of documents no rows.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_id_col).cast("string"), F.col(item_text_col)).where(F.col(item_id_col).isNotNull())
-    shards = [spark.sparkContext.broadcast(x) for x in automata([(a, b) for a, b in rows.toLocalIterator()], window, max_pattern_bytes)] or [None]
+    items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col(item_id_col).isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * window  # a word is in ``window`` windows
+    count = blocks_for(size, max_pattern_bytes)
     taken = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "_ranges", "_items"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
     keep = [f for f in docs.schema if spans or f.name != text_col]
     state = docs.withColumn("_ranges", F.lit(None).cast("array<array<int>>")).withColumn("_items", F.lit(None).cast("array<string>"))
-    for shard in shards[:-1]:
-        state = state.mapInArrow(tidy(_pass(shard, text_col, None, [f.name for f in state.schema], min_items, spans)), state.schema)
+    names = [f.name for f in state.schema]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"] + ["hit_spans array<array<int>>"] * spans)
-    return state.mapInArrow(tidy(_pass(shards[-1], text_col, [f.name for f in keep], [f.name for f in state.schema], min_items, spans)), ddl)
+
+    def shared(shard: int):
+        some = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == shard)
+        return spark.sparkContext.broadcast(automaton(((r[0], r[1]) for r in some.toLocalIterator()), window))
+
+    for shard in range(count - 1):
+        known = shared(shard)
+        state = checkpoint(state.mapInArrow(tidy(_pass(known, text_col, None, names, min_items, spans)), state.schema))
+        known.destroy()
+    return state.mapInArrow(tidy(_pass(shared(count - 1), text_col, [f.name for f in keep], names, min_items, spans)), ddl)
 
 
 def _pass(shard, text_col: str, final: list[str] | None, names: list[str], min_items: int, spans: bool):
     def run(batches):
-        auto, known = shard.value if shard is not None else (None, [])
+        auto, known = shard.value or (None, [])
         for batch in batches:
             cols = dict(zip(names, batch.columns, strict=True))
             out: dict[str, list] = {x: [] for x in ("ranges", "items", "n_words", "n_hit", "n_items", "sha", "spans")}

@@ -10,13 +10,14 @@ the lower bound on bins, or when no step is left.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
 import sys
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,7 @@ class _Search:
         for x in (v, b):
             self.fill[x] = sum(self.n[i] for i in self.bins[x])
             self._enter(x)
+        self.touched = v, b
 
     def _raises(self, v: int, b: int, gain: int) -> bool:
         """Squared fill grows when ``gain`` goes from v to b."""
@@ -233,27 +235,29 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int((apart + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
-def pack(lengths: np.ndarray, capacity: int, effort: int = 1000) -> list[list[int]]:
-    """Bins of item positions; every item (1..capacity long) is in exactly one.  The search weighs at most about
-    ``effort`` exchanges a bin: it bounds time spent on a last bin, never what is packed."""
+def pack(lengths: np.ndarray, capacity: int, effort: int = 1000, tries: int = 4) -> list[list[int]]:
+    """Bins of item positions; every item (1..capacity long) is in exactly one.  The emptiest bin is attacked first,
+    then the next; each try weighs at most about ``effort`` exchanges, and a bin that was changed meanwhile is tried
+    again, up to ``tries`` times.  Both bound the time, never what is packed."""
     bins = best_fit(lengths, capacity)
     least = least_bins(lengths, capacity)
-    search, live, stuck = _Search(lengths, bins, capacity, effort * len(bins)), len(bins), set()
-    while live > least and search.effort > 0:
-        under = [b for rooms in search.roomy.values() for b in rooms if b not in stuck and search.bins[b]]
-        if not under:
-            break
-        v = min(under, key=lambda b: (search.fill[b], b))
-        moved = False
+    search, live = _Search(lengths, bins, capacity, 0), len(bins)
+    tried: Counter[int] = Counter()
+    queue = [(f, b) for b, f in enumerate(search.fill) if f < capacity]
+    heapq.heapify(queue)
+    while live > least and queue:
+        fill, v = heapq.heappop(queue)
+        if not search.bins[v] or fill != search.fill[v] or tried[v] >= tries:
+            continue  # full, emptied, or in the queue anew as it is now
+        tried[v] += 1
+        search.effort = effort
         while search.bins[v] and search.step(v):
-            moved = True
+            for b in search.touched:
+                if search.fill[b] < capacity:
+                    heapq.heappush(queue, (search.fill[b], b))
         if not search.bins[v]:
             search.roomy[capacity].discard(v)
             live -= 1
-        else:
-            stuck.add(v)
-        if moved and search.bins[v]:
-            stuck = {v}
     return [b for b in search.bins if b]
 
 

@@ -223,9 +223,14 @@ def test_packing_round_trip(spark, docs, texts):
     rows: Counter = Counter()
     for r in got:
         assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and r["length"] == len(r["ids"]) <= 2048
-    single = [r for r in got if r["piece"] == 0 and r["length"] < 2048]
-    rows.update((r["doc_id"], tuple(r["ids"])) for r in single)
-    assert all(want[k] == n for k, n in rows.items()) and sum(r["length"] for r in got) == sum(len(k[1]) * n for k, n in want.items())
+    cut = [r for r in got if r["piece"] > 0]
+    assert cut and all(r["start"] == 2048 * r["piece"] for r in got)
+    long = {r["doc_id"] for r in cut}  # one row each: put together again they are the whole document
+    assert all(sum(r["doc_id"] == i and r["piece"] == 0 for r in got) == 1 for i in long)
+    for i in long:
+        rows[(i, tuple(x for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"]) for x in r["ids"]))] += 1
+    rows.update((r["doc_id"], tuple(r["ids"])) for r in got if r["doc_id"] not in long)
+    assert rows == want
     for s in {r["sequence_id"] for r in got}:
         at = 0
         for r in sorted((r for r in got if r["sequence_id"] == s), key=lambda r: r["offset"]):
@@ -242,6 +247,15 @@ def test_local_search_saves_bins():
     assert packing.pack(np.array([], int), 10) == []
 
 
+def test_local_search_saves_bins_of_sequences():
+    """At the production length, where best fit is far from the bound."""
+    rng = np.random.default_rng(0)
+    for lengths, most in ((np.tile(np.array([6, 6, 5, 5, 4, 4, 4, 3, 3]) * 204, 100), 0.97), (683 + rng.integers(-40, 40, 2000), 0.95), (rng.integers(512, 1024, 2000), 0.97)):
+        bins, fit = packing.pack(lengths, 2048), packing.best_fit(lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and max(lengths[b].sum() for b in bins) <= 2048
+        assert packing.least_bins(lengths, 2048) <= len(bins) <= most * len(fit)
+
+
 def test_odd_texts_encode_alike():
     import public_tokenizers
     from tokenizers import Tokenizer
