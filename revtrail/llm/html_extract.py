@@ -253,7 +253,7 @@ def host_templates(pages: DataFrame, min_pages: int = 4, min_share: float = 0.5)
     each = pages.select("host", "page", "html").mapInArrow(tidy(tokens, 256), "host long, page long, token long, structure boolean, n int, prose long, total long")
     distinct = each.groupBy("host", "token", "structure", "page").agg(F.max("n").alias("n"), F.max("prose").alias("prose"), F.max("total").alias("total"))
     sums = [F.sum(F.col("page").cast("decimal(38,0)") * F.col("n")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"), F.sum("prose").alias("prose"), F.sum("total").alias("total")]
-    vectors = distinct.groupBy("host", "token", "structure").agg(*sums).where(F.col("pages") >= min_pages)
+    vectors = checkpoint(distinct.groupBy("host", "token", "structure").agg(*sums).where(F.col("pages") >= min_pages))  # used twice
     spans = vectors.where("token = 0").select(F.col("host").alias("h"), F.col("pages").alias("of"))
     frequent = vectors.join(spans, F.col("host") == F.col("h")).where(F.col("pages") >= F.col("of") * min_share)
     region = F.when(F.col("structure") & (F.col("token") != 0) & (F.col("times") == F.col("pages")) & (F.col("prose") * 2 >= F.col("total")), F.col("token"))
