@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revtrail.sources.landed import spread
+
 #: ASCII letters A-Z to a-z, all else unchanged (a 256-entry byte rule, not a word list).
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The whole table, over all cores also where its files are too few for them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

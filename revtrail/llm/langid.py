@@ -94,14 +94,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit_prototypes(rows: DataFrame, text_col: str, lang_col: str, dimensions: int) -> dict[str, np.ndarray]:
-    """Unit prototype per language.  Each task sums its texts per language; only sums meet at the driver."""
+    """Unit prototype per language.  Each task sums its texts per language; only sums meet at the driver.  Texts that
+    are null or without letters add nothing, repeated rows add as often as they are there, a null language is none;
+    empty input gives no prototypes."""
 
     def sums(batches):
         encoder, total = Encoder(dimensions), {}
         for batch in batches:
             x, some = encoder.encode(batch.column(0).to_pylist())
             for v, any_letter, lang in zip(_unit(x), some, batch.column(1).to_pylist(), strict=True):
-                if any_letter:
+                if any_letter and lang is not None:
                     total[lang] = total.get(lang, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
@@ -113,7 +115,9 @@ def fit_prototypes(rows: DataFrame, text_col: str, lang_col: str, dimensions: in
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: list[str], text_col: str = "text", dimensions: int = 1024) -> DataFrame:
     """``keep`` columns, lang_pred (``und`` for a null text, one without letters, or if nothing was learned) and
-    score, the cosine cut to 0..1.  Ties go to the language first in order."""
+    score, the cosine cut to 0..1; what ``keep`` has under those two names is replaced.  Ties go to the language
+    first in order; repeated rows stay repeated.  Empty input: no rows."""
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.stack(list(prototypes.values())) if prototypes else np.zeros((0, dimensions), np.float32)))
 
     def run(batches):

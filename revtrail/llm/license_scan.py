@@ -201,9 +201,10 @@ def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "
     A licence file is one whose whole text is a template (``file_threshold``) or whose name is that of a licence file and
     which has a matching line.  In a directory with several, the best score counts, then the first path.
     A null path has no directory, so nothing is inherited; null and empty texts have no own license.  Of equally
-    good templates the first in order counts, of equally good passages the first.  Repeated rows stay repeated.  Empty input: no rows.  ``keep`` names must not start with an underscore.
+    good templates the first in order counts, of equally good passages the first.  Repeated rows stay repeated.  Empty input: no rows.  What ``keep`` has under the result's
+    names is replaced; its names must not start with an underscore.
     """
-    keep = keep if keep is not None else [path_col]
+    keep = [c for c in (keep if keep is not None else [path_col]) if c.lower() not in ("license", "score", "line", "origin", "license_dir")]
     templates = templates if templates is not None else TEMPLATES
     vocabulary = {t for _, text in templates for t in terms(text)}
     total, found = document_frequencies(files, text_col, vocabulary)

@@ -153,7 +153,9 @@ def _with_features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_fold: int = 2, sample: int = 40_000) -> AdditiveModel:
     """Learns from at most ``sample`` labelled rows outside the held-out fold, chosen by a hash of the id.
-    Labels that are null, or whose id is null, are left out; a repeated label counts as often as it is there."""
+    Labels that are null or neither 0 nor 1, or whose id is null, are left out; a repeated label or document counts
+    as often as it is there, contradicting ones each.  Without labels or documents every score is 0.5.  Equal gains
+    are settled by the order of features and bins."""
     known = labels.where((crc32_mod(id_col, folds) != held_fold) & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_label"))
     bounded = known.orderBy(F.xxhash64(id_col), id_col, "_label").limit(sample)
     rows = _with_features(docs.select(id_col, text_col).join(F.broadcast(bounded), id_col), text_col, [id_col, "_label"]).orderBy(id_col, "_label").select("_label", "x").collect()
@@ -161,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, *, keep: list[str], text_col: str = "text", threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
-    """``keep`` columns, score (0..1) and predicted (1 if score >= threshold).  Whole texts count; null reads as empty."""
+    """``keep`` columns, score (0..1) and predicted (1 if score >= threshold, so a tie is accepted); what ``keep`` has
+    under those two names is replaced.  Whole texts count; null reads as empty; repeated rows stay repeated.  Empty
+    input: no rows."""
+    keep = [c for c in keep if c.lower() not in (score_col.lower(), predicted_col.lower())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -495,7 +495,8 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id.  Of repeated rows with that id and
-    text any one stays; rows whose group has no id all stay."""
+    text any one stays; rows whose group has no id all stay.  Null and wordless texts are one group.  Other columns
+    are kept as they are.  Empty input: no rows."""
     groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
     keepers = groups.where(F.col("keeper").isNotNull()).select(F.col("keeper").alias("_keeper"), F.col("text_key").alias("_keeper_key"))

@@ -432,7 +432,8 @@ _SENT = 32 << 20
 
 def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 20_000, per_task: int = 25_000) -> tuple[DataFrame, bool]:
     """(key, stretches array<struct<start, end>>): byte ranges covered by repeated windows, per distinct text
-    that has any; and whether they are few enough to be broadcast.  texts: key (MD5), raw (bytes)."""
+    that has any; and whether they are few enough to be broadcast.  texts: key (MD5), raw (bytes; rows where it is
+    null or shorter than a window are left out, repeated rows are repetitions).  Empty input: no rows."""
     long_enough = texts.where(F.length("raw") >= window).select("key", "raw")
     entries = long_enough.mapInArrow(tidy(_find_runs(window), 512), _ENTRY)
     ordered = entries.repartition(shuffle_partitions(texts.sparkSession), "route").sortWithinPartitions("anchor", "whole")
@@ -477,8 +478,10 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text",
     A byte goes if a ``window``-byte string that covers it also starts anywhere else, in the same text too;
     all occurrences go.  Null and empty texts, and texts shorter than a window, lose nothing.  Repeated rows
     stay repeated (and, if long enough, are wholly removed).  ``kept_text`` drops a character of which a byte
-    was removed.  Empty input: no rows.
+    was removed.  What ``keep`` has under the result's names is replaced.  Empty input: no rows.
     """
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
+    keep = [c for c in keep if c.lower() not in names]
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.md5(raw)).alias("_key"), raw.alias("_raw"))
     marks, few = repeated_stretches(docs.select(F.unhex(F.md5(raw)).alias("key"), raw.alias("raw")), window, group_limit)
@@ -498,6 +501,5 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text",
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]], names=[*keep, *names])
 
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     ddl = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ["kept_text string"] * with_text)
     return joined.mapInArrow(tidy(run), ddl)
