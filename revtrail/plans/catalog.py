@@ -305,6 +305,22 @@ def robots_files(spark, d):
     return parsed.select("page_id", policy.is_allowed(F.col("r.rules"), F.col("url")).alias("allowed"), F.col("r.crawl_delay").cast("double").alias("crawl_delay"))
 
 
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 3 THEN NOT starts_with(p, '/fr/') ELSE false END AS allowed, page_id % 4 IN (1, 2) AS unavailable FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS p FROM pages)", derive=False)
+def robots_sources(spark, d):
+    """What a robots file means by how it was answered: not found, failed, no answer, found."""
+    k = F.col("page_id") % 4
+    status = F.when(k == 0, 404).when(k == 1, 503).when(k == 3, 200)
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", policy.robots_for(status, F.when(k == 2, "timeout"), F.lit("User-agent: *\nDisallow: /fr/")).alias("r"))
+    return pages.select("page_id", policy.is_allowed(F.col("r.rules"), F.col("url")).alias("allowed"), F.col("r.unavailable").alias("unavailable"))
+
+
+@query("SELECT doc_id, CAST(list_max(list_filter(range(0, least(64, len(text)) + 1), lambda k: strlen(text[:k]) <= 64)) AS INTEGER) AS kept FROM documents WHERE text IS NOT NULL", derive=False)
+def capped_bodies(spark, d):
+    """Characters left of a body cut at 64 bytes; half a character is no character."""
+    cut = policy.capped_body(F.encode("text", "UTF-8"), 64)
+    return base(spark, d).select("doc_id", F.char_length(F.regexp_replace(cut, "\ufffd+$", "")).alias("kept"))
+
+
 _HOST = "regexp_extract(source_url, '^https://([^/]*)', 1)"
 
 

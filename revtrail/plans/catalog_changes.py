@@ -210,10 +210,38 @@ def diff_segments(spark, d):
     return out.select("document_id", "rev", F.explode(diff.view_segments(F.col("parts"), "after")).alias("s")).select("document_id", "rev", "s.*")
 
 
+_MODEL_SAYS = "CAST(document_id AS BIGINT) % 4"
+
+
+@query(f"SELECT document_id, rev, CASE {_MODEL_SAYS} WHEN 0 THEN 'Said by a model' ELSE s.headline END AS headline, CASE {_MODEL_SAYS} WHEN 0 THEN 'high' ELSE 'low' END AS confidence, {_MODEL_SAYS} = 0 AS publish, 'high' AS fake_confidence FROM {_JUDGED} j JOIN {_SAID_ROWS} USING (m) WHERE s.k = j.rev AND reason IS NULL")
+def summaries_by_model(spark, d):
+    """A model that fails for three rows of four - no headline, no known severity, no known tag - next to the fake."""
+    n = F.col("document_id").cast("long") % 4
+
+    def model(df):
+        said = classify.summarize_heuristically(df)
+        return said.withColumns({"headline": F.when(n != 1, "Said by a model"), "severity": F.when(n == 2, 6).otherwise(5), "tags": F.when(n == 3, F.array(F.lit("legacy"))).otherwise(F.array(F.lit("pricing"))), "confidence": F.lit("high")})
+
+    about = _diffs(spark, d).where("not cosmetic").select("document_id", "rev", "hunks", "stats", F.lit("tos").alias("document_type"), F.lit("Co").alias("company_name"), F.lit(None).cast("string").alias("document_title"))
+    both = classify.summarizer("model", model)(about).select("document_id", "rev", "headline", "confidence", classify.should_publish(F.col("confidence")).alias("publish"), "hunks", "stats", "document_type", "company_name", "document_title")
+    return classify.summarizer("fake")(both.withColumnsRenamed({"headline": "_h", "confidence": "_c"})).select("document_id", "rev", F.col("_h").alias("headline"), F.col("_c").alias("confidence"), "publish", F.col("confidence").alias("fake_confidence"))
+
+
 # ---- whole crawls ----------------------------------------------------------------------------------------
 
 
-@query()
+#: The test pages in SQL: an article of h1, p, br and b, a notice before it, menus and a footer around.  The body
+#: wins where the article is too short, or where nothing in it but the notice is long enough to be scored.
+_PIECES = f"list_filter(list_transform(string_split(nfc_normalize(%s), chr(1)), lambda x: trim(regexp_replace(x, '{WS}+', ' ', 'g'))), lambda x: x <> '')"
+_DECODED = "regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(%s, '</?(?:h1|p|br|div)[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+@query(f"""SELECT page_id, nullif(title, '') AS title, extracted_text, sha256(extracted_text) AS content_hash, used_fallback FROM (
+  SELECT page_id, title, CASE WHEN found AND n >= 250 AND len(array_to_string(own, chr(10))) >= 200 THEN array_to_string(own, chr(10)) ELSE array_to_string(whole, chr(10)) END AS extracted_text,
+    NOT CASE WHEN found THEN n >= 250 AND len(array_to_string(own, chr(10))) >= 200 ELSE n + noted >= 250 AND noted >= 25 AND len(array_to_string(whole, chr(10))) >= 200 END AS used_fallback
+  FROM (SELECT page_id, title, {_PIECES % 'article'} AS own, {_PIECES % 'concat(notice, chr(1), article)'} AS whole, len(replace(article, chr(1), '')) AS n, len(notice) AS noted,
+      len(list_filter(string_split(article, chr(1)), lambda x: len(regexp_replace(x, '{WS}+', ' ', 'g')) >= 25)) > 0 AS found
+    FROM (SELECT page_id, {TRIM % ("replace(" + _DECODED % "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)" + ", chr(1), '')")} AS title, {_DECODED % "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"} AS article, {_DECODED % "regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)"} AS notice FROM pages)))""", derive=False)
 def html_text(spark, d):
     pages = spread(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")).select("page_id", extract.extract_content(F.col("html")).alias("x"))
     return pages.select("page_id", "x.title", F.col("x.extracted_text").alias("extracted_text"), X.content_hash(F.col("x.extracted_text")).alias("content_hash"), F.col("x.used_fallback").alias("used_fallback"))
