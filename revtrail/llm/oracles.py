@@ -40,6 +40,30 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
+OP6 = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT rid, i, md5(b[i + 1 : i + 400]) AS w FROM (SELECT rid, b, unnest(range(0, octet_length(b) - 399)) AS i FROM docs)),
+often AS (SELECT w FROM starts GROUP BY w HAVING count(*) > 1),
+marked AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM starts JOIN often USING (w)),
+edges AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM marked),
+spans AS (SELECT rid, k, min(i) AS a, max(i) + 400 AS z FROM edges GROUP BY rid, k),
+cut AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM spans GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(list_zip(list_concat([0], coalesce(ends, [])), list_concat(coalesce(starts, []), [octet_length(b)])), lambda p: hex(b[p[1] + 1 : p[2]])), ''))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid)
+"""
+
+#: For pages as the test tables have them: one article of headings, paragraphs and inline markup.
+OP7 = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:h1|p|br)[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM pages
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(string_split(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(1)),
+    lambda x: trim(regexp_replace(x, '[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))), lambda x: x <> '') AS b FROM articles
+)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, CAST(length(array_to_string(b, chr(10))) AS BIGINT) AS n_chars FROM blocks
+"""
+
 _RULES = """(VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS r(kind, rh, rp)"""
 
 OP8 = rf"""
@@ -79,4 +103,4 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 FROM pages LEFT JOIN urls ON urls.u = pages.url LEFT JOIN spread USING (key)
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op5_topk": OP5, "op8_url_filter": OP8}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op5_topk": OP5, "op6_suffix_dedup": OP6, "op7_html": OP7, "op8_url_filter": OP8}
