@@ -472,11 +472,18 @@ def merge(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text", window: int = 400, with_text: bool = False, group_limit: int = 20_000) -> DataFrame:
+def whole_words(text: bytes, start: int, end: int) -> int:
+    """Words, between white space, that lie wholly in a span."""
+    words = len(text[start:end].split())
+    within = [0 < at < len(text) and not text[at - 1 : at].isspace() and not text[at : at + 1].isspace() for at in (start, end)]
+    return max(0, words - sum(within))
+
+
+def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text", window: int = 400, min_words: int = 0, with_text: bool = False, group_limit: int = 20_000) -> DataFrame:
     """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, and ``kept_text`` if ``with_text``.
 
     A byte goes if a ``window``-byte string that covers it also starts anywhere else, in the same text too;
-    all occurrences go.  Null and empty texts, and texts shorter than a window, lose nothing.  Repeated rows
+    all occurrences go - of ``min_words`` whole words at least, if that is given.  Null and empty texts, and texts shorter than a window, lose nothing.  Repeated rows
     stay repeated (and, if long enough, are wholly removed).  ``kept_text`` drops a character of which a byte
     was removed.  What ``keep`` has under the result's names is replaced.  Empty input: no rows.
     """
@@ -494,6 +501,8 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], text_col: str = "text",
             out = []
             for text, stretches in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
                 spans = merge([(s["start"], s["end"]) for s in stretches or []])
+                if min_words:
+                    spans = [s for s in spans if whole_words(text, *s) >= min_words]
                 edges = [0, *[x for span in spans for x in span], len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))

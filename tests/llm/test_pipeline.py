@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -49,15 +50,21 @@ def one_of_each_group(rows):
     return [r for r in rows if least[group[r["text"] or ""]] == r["doc_id"]]
 
 
-def without_passages(rows, window=400):
+def without_passages(rows, window=256, words=51):
     raw = [(r["text"] or "").encode() for r in rows]
     seen = Counter(hashlib.md5(x[p : p + window]).digest() for x in raw for p in range(len(x) - window + 1))
     out = []
     for r, x in zip(rows, raw, strict=True):
-        gone = np.zeros(len(x), bool)
+        gone = np.zeros(len(x) + 2, bool)
         for p in range(len(x) - window + 1):
             if seen[hashlib.md5(x[p : p + window]).digest()] > 1:
-                gone[p : p + window] = True
+                gone[p + 1 : p + 1 + window] = True
+        edges = np.flatnonzero(np.diff(gone.astype(int)))
+        for a, b in edges.reshape(-1, 2).tolist():
+            whole = [m for m in re.finditer(rb"\S+", x) if m.start() >= a and m.end() <= b]
+            if len(whole) < words:
+                gone[a + 1 : b + 1] = False
+        gone = gone[1:-1]
         kept = bytes(np.frombuffer(x, np.uint8)[~gone]).decode("utf-8", "ignore")
         if not gone.any():
             out.append((r["doc_id"], r["text"], r["n_chars"]))
