@@ -94,7 +94,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit_prototypes(rows: DataFrame, text_col: str, lang_col: str, dimensions: int) -> dict[str, np.ndarray]:
-    """Unit prototype per language.  Each task sums its texts per language; only sums meet at the driver.  Texts that
+    """Unit prototype per language.  Each task sums its texts per language, and few sums of those meet at the driver.  Texts that
     are null or without letters add nothing, repeated rows add as often as they are there, a null language is none;
     empty input gives no prototypes."""
 
@@ -107,8 +107,13 @@ def fit_prototypes(rows: DataFrame, text_col: str, lang_col: str, dimensions: in
                     total[lang] = total.get(lang, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
+    def added(key, table):
+        return pa.table({"lang": [key[0].as_py()], "v": [np.sum([np.array(v) for v in table.column("v").to_pylist()], axis=0).tolist()]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
+
+    schema = "lang string, v array<double>"
+    parts = rows.select(text_col, lang_col).mapInArrow(tidy(sums, 256), schema).withColumn("part", F.spark_partition_id() % 16)
     out: dict[str, np.ndarray] = {}
-    for lang, v in rows.select(text_col, lang_col).mapInArrow(tidy(sums), "lang string, v array<double>").toLocalIterator():
+    for lang, v in parts.groupBy("lang", "part").applyInArrow(added, schema).collect():  # sixteen sums a language
         out[lang] = out.get(lang, 0) + np.array(v)
     return {k: _unit(out[k]).astype(np.float32) for k in sorted(out)}
 

@@ -4,6 +4,7 @@ repeated rows, empty tables, extra columns with clashing names."""
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -344,6 +345,47 @@ def test_language(spark):
     assert np.allclose(parts, whole)  # long texts in segments give the same bundle
 
 
+def test_language_against_plain_loops(spark):
+    """Trigram vectors bound letter by letter, bundled and compared one at a time."""
+    rows = [(i, f"{prose(i, 20)} {'äé日ß'[i % 4] * 3}, {i}½", ["x", "y", "z"][i % 3]) for i in range(30)]
+    rows += [(30, None, "x"), (31, "12 ½", "y"), (32, rows[0][1], "y"), (33, "ab", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    encoder = langid.Encoder(128)
+
+    def bundle(text):
+        out = np.zeros(128)
+        words = "".join(c if unicodedata.category(c).startswith("L") else " " for c in (text or "").lower()).split()
+        padded = f" {' '.join(words)} " if words else ""
+        for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+            out += np.roll(encoder.letter(ord(a)), 2) * np.roll(encoder.letter(ord(b)), 1) * encoder.letter(ord(c))
+        return out
+
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    want = {lang: unit(sum(unit(bundle(t)) for _, t, x in rows if x == lang)) for lang in "xyz"}
+    got = langid.fit_prototypes(df.where("lang is not null"), "text", "lang", 128)
+    assert sorted(got) == sorted(want) and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, got, keep=["doc_id"], dimensions=128).collect()}
+    for i, text, _ in rows:
+        cosine = {k: float(unit(bundle(text)) @ want[k]) for k in sorted(want)}
+        best = max(cosine, key=cosine.get) if any(unicodedata.category(c).startswith("L") for c in text or "") else "und"
+        assert found[i][0] == best and abs(found[i][1] - min(1, max(0, cosine.get(best, 0)))) < 1e-4
+
+
+def test_quality_against_plain_sums(spark):
+    """A score is the logistic function of one entry of each table, looked up a text at a time."""
+    rng = np.random.default_rng(4)
+    x = np.array([quality.features(prose(i, 5 + i % 40) + "!" * (i % 7)) for i in range(300)])
+    model = quality.fit(x, (rng.random(300) < 0.3 + 0.4 * (x[:, 0] > np.median(x[:, 0]))).astype(float), rounds=20, pair_rounds=8)
+    texts = [prose(900 + i, 30) + "?" * i for i in range(12)] + [None, "", " \n", "word " * 50_000]
+    got = [r["score"] for r in quality.score_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model, keep=["doc_id"]).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        f = quality.features(text)
+        at = [sum(e <= v for e in edges) for v, edges in zip(f, model.edges, strict=True)]
+        total = model.constant + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[at[i], at[j]] for i, j, t in model.pairs)
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-12
+    assert model.pairs and len(model.tables) == len(quality.FEATURES)
+
+
 # ---- pages -----------------------------------------------------------------------------------------------
 
 
