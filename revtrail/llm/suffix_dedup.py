@@ -266,9 +266,10 @@ class IndexFamily:
 # ---- Spark ----------------------------------------------------------------------------------------------
 
 
-#: What passes between the stages: spans known to be repeated (of a key), or a run.
 _MARKS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_ENTRY = "route long, key binary, spans array<struct<start:long,end:long>>, place long, anchor long, whole long, n long"
+#: What passes between the stages.  A run: its hashes and, packed, key, place and count.  Spans of a text known to be
+#: repeated: no hashes, and packed the key and starts and ends.
+_ENTRY = "anchor long, whole long, packed binary"
 _FAMILY_ROWS = 1 << 20
 
 
@@ -277,17 +278,33 @@ def _spans(place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return first, first + span + window
 
 
-def _joined(text: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, pa.Array]:
-    """Text numbers that have repeated positions, and their spans, merged."""
+def _joined(text: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, list[bytes]]:
+    """Text numbers that have repeated positions, and their spans, merged and packed."""
     order = np.lexsort((place, text))
     text, (start, end) = text[order], _spans(place[order], window)
     # ends rise with starts within a text, for runs follow one another
     new = np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] > end[:-1])]) if len(text) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    start, end = start[at], np.maximum.reduceat(end, at) if len(at) else end[:0]
+    pairs = np.stack([start[at], np.maximum.reduceat(end, at) if len(at) else end[:0]], axis=1)
     texts, first = np.unique(text[at], return_index=True)
-    values = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
-    return texts, pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), values)
+    return texts, [x.astype("<i8").tobytes() for x in np.split(pairs, first[1:])] if len(texts) else []
+
+
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * width + 1, width or 1, dtype=np.int32)[: n + 1]), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _rows_of(column: pa.Array, width: int) -> np.ndarray:
+    """The reverse of _binary."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, width)
 
 
 def _find_runs(window: int):
@@ -295,15 +312,16 @@ def _find_runs(window: int):
 
     def rows(family: RunFamily, keys: list[bytes]) -> Iterator[pa.RecordBatch]:
         whole, repeated = family.drain()
-        names = ["route", "key", "spans", "place", "anchor", "whole", "n"]
+        names = ["anchor", "whole", "packed"]
+        known = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
         for at in range(0, len(whole), 65536):
-            anchor, run, n, text, place = whole[at : at + 65536].T
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array([keys[i] for i in text], pa.binary()), pa.nulls(len(n), _MARKS), pa.array(place), pa.array(anchor), pa.array(run), pa.array(n)], names=names)
+            anchor, run, n, text, place = np.ascontiguousarray(whole[at : at + 65536].T)
+            packed = np.concatenate([known[text], _bytes_of(place), _bytes_of(n)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(run), _binary(packed)], names=names)
         texts, spans = _joined(repeated[:, 0], repeated[:, 1], window)
         if len(texts):
-            own = [keys[i] for i in texts]
-            none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([int.from_bytes(k[:8], "little", signed=True) for k in own])), pa.array(own, pa.binary()), spans, none, none, none, none], names=names)
+            none = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([keys[i] + x for i, x in zip(texts, spans, strict=True)], pa.binary())], names=names)
 
     def run(batches):
         hasher, family = Hasher(_CHUNK + window), RunFamily()
@@ -332,8 +350,8 @@ def _scan_runs(window: int, group_limit: int):
     names = ["key", "spans", "place", "anchor", "whole", "alone", "large"]
 
     def decided(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = batch.column(1)
-        place, anchor, whole, n = (batch.column(i).to_numpy() for i in range(3, 7))
+        anchor, whole, packed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _rows_of(batch.column(2), 32)
+        keys, (place, n) = packed[:, :16], np.ascontiguousarray(packed[:, 16:]).view("<i8").T
         group = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         kind = group | np.concatenate([[True], whole[1:] != whole[:-1]])
         of_group, of_kind = np.cumsum(group) - 1, np.cumsum(kind) - 1
@@ -346,22 +364,22 @@ def _scan_runs(window: int, group_limit: int):
             start, end = _spans(place[mark], window)
             values = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
             spans = pa.ListArray.from_arrays(pa.array(np.arange(len(mark) + 1), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(mark)), spans, *[pa.nulls(len(mark), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]], names=names)
+            yield pa.RecordBatch.from_arrays([_binary(keys[mark]), spans, *[pa.nulls(len(mark), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]], names=names)
         if len(ask):
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(ask)), pa.nulls(len(ask), _MARKS), pa.array(place[ask]), pa.array(anchor[ask]), pa.array(whole[ask]), pa.array(total[ask] == 1), pa.array(kinds[ask] > group_limit)], names=names)
+            yield pa.RecordBatch.from_arrays([_binary(keys[ask]), pa.nulls(len(ask), _MARKS), pa.array(place[ask]), pa.array(anchor[ask]), pa.array(whole[ask]), pa.array(total[ask] == 1), pa.array(kinds[ask] > group_limit)], names=names)
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # rows of the last anchor, which may go on
         for batch in batches:
-            known = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
-            if len(known):
-                some = batch.take(pa.array(known))
-                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), *[pa.nulls(len(known), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]], names=names)
-                batch = batch.filter(batch.column(2).is_null())
+            if batch.column(0).null_count:
+                packed = batch.filter(batch.column(0).is_null()).column(2).to_pylist()
+                spans = [[{"start": a, "end": b} for a, b in np.frombuffer(x, "<i8", offset=16).reshape(-1, 2).tolist()] for x in packed]
+                yield pa.RecordBatch.from_arrays([pa.array([x[:16] for x in packed], pa.binary()), pa.array(spans, _MARKS), *[pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]], names=names)
+                batch = batch.filter(batch.column(0).is_valid())
             if not batch.num_rows:
                 continue
-            anchor = batch.column(4).to_numpy()
-            if held and (anchor == held[-1].column(4)[0].as_py()).all():
+            anchor = batch.column(0).to_numpy()
+            if held and (anchor == held[-1].column(0)[0].as_py()).all():
                 held.append(batch)
                 continue
             cut = int(np.searchsorted(anchor, anchor[-1]))
@@ -436,7 +454,7 @@ def repeated_stretches(texts: DataFrame, window: int = 400, group_limit: int = 2
     null or shorter than a window are left out, repeated rows are repetitions).  Empty input: no rows."""
     long_enough = texts.where(F.length("raw") >= window).select("key", "raw")
     entries = long_enough.mapInArrow(tidy(_find_runs(window), 512), _ENTRY)
-    ordered = entries.repartition(shuffle_partitions(texts.sparkSession), "route").sortWithinPartitions("anchor", "whole")
+    ordered = entries.repartition(shuffle_partitions(texts.sparkSession), F.coalesce("anchor", F.xxhash64("packed"))).sortWithinPartitions("anchor", "whole")
     decided = checkpoint(ordered.mapInArrow(tidy(_scan_runs(window, group_limit), 10_000), "key binary, spans array<struct<start:long,end:long>>, place long, anchor long, whole long, alone boolean, large boolean"))
     open_runs = decided.where(F.col("anchor").isNotNull())
     members, keys, large = open_runs.agg(F.count(F.lit(1)), F.count_distinct("key"), F.coalesce(F.max("large"), F.lit(False))).first()
