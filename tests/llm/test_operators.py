@@ -196,13 +196,14 @@ def test_components(spark):
 def test_decontamination(spark, docs):
     item = prose(900, 20)
     marked = item.upper().replace(" ", "-- ").replace("W", "W")
-    rows = [(1, f"lead {marked} tail"), (2, f"{' '.join(item.split()[3:11])} and {prose(901, 3)}!"), (3, "nothing"), (4, None), (5, ""), (6, "a b"), (1, f"lead {marked} tail")]
+    rows = [(7, "far " * 400_000 + marked + " end" * 400_000), (1, f"lead {marked} tail"), (2, f"{' '.join(item.split()[3:11])} and {prose(901, 3)}!"), (3, "nothing"), (4, None), (5, ""), (6, "a b"), (1, f"lead {marked} tail")]
     frame = spark.createDataFrame([(*r, 9, 9) for r in rows], "doc_id long, text string, n_hit int, _items int")
     bench = spark.createDataFrame([(7, item), (10, prose(901, 3)), (10, prose(901, 3)), (11, None), (12, "?!"), (None, "nothing")], "item_id long, text string")
     for size in (16 << 20, 60):
         got = decontam.find_contamination(frame, bench, spans=True, max_pattern_bytes=size).collect()
         by = {r["doc_id"]: r for r in got}
-        assert len(got) == 7 and [(by[i]["n_hit"], by[i]["n_items"], by[i]["contaminated"]) for i in (1, 2, 3, 4, 5)] == [(20, 1, False), (11, 2, True), (0, 0, False), (0, 0, False), (0, 0, False)]
+        assert len(got) == 8 and (by[7]["n_words"], by[7]["n_hit"], by[7]["n_items"]) == (800_020, 20, 1) and by[7]["text"][slice(*by[7]["hit_spans"][0])] == marked
+        assert [(by[i]["n_hit"], by[i]["n_items"], by[i]["contaminated"]) for i in (1, 2, 3, 4, 5)] == [(20, 1, False), (11, 2, True), (0, 0, False), (0, 0, False), (0, 0, False)]
         assert by[2]["items_sha256"] == hashlib.sha256(b"10,7").hexdigest() and by[4]["n_words"] == 0 and by[6]["n_words"] == 1
         start, end = by[1]["hit_spans"][0]
         assert by[1]["text"][start:end] == marked
@@ -371,6 +372,12 @@ def test_language_against_plain_loops(spark):
         assert found[i][0] == best and abs(found[i][1] - min(1, max(0, cosine.get(best, 0)))) < 1e-4
 
 
+def test_language_ties_go_to_the_first(spark):
+    df = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["b", "a", "c", "b", "a", "c", "a", "b", "c"])], "doc_id long, text string, lang string")
+    prototypes = langid.fit_prototypes(df, "text", "lang", 64)
+    assert {r["lang_pred"] for r in langid.identify(df, prototypes, keep=["doc_id"], dimensions=64).collect()} == {"a"}
+
+
 def test_quality_against_plain_sums(spark):
     """A score is the logistic function of one entry of each table, looked up a text at a time."""
     rng = np.random.default_rng(4)
