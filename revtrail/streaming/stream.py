@@ -35,7 +35,6 @@ def process(batch: DataFrame, number: int, documents: DataFrame, out: str, summa
     done = crawl.run(documents, batch, summarize, previous)
     for name in ("outcomes", "changes", "snapshots"):
         getattr(done, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-    done.release()
 
 
 def crawl_available(spark: SparkSession, fetches: str, documents: DataFrame, out: str, checkpoint: str, files_per_batch: int | None = None) -> None:
