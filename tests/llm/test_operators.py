@@ -58,8 +58,9 @@ def removed_by_force(texts, window):
     return out
 
 
-@pytest.mark.parametrize("limit", [1, 20_000])
-def test_suffix_dedup(docs, texts, limit):
+@pytest.mark.parametrize("limit, sent", [(1, 32 << 20), (20_000, 32 << 20), (20_000, -1)])
+def test_suffix_dedup(docs, texts, limit, sent, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_SENT", sent)  # nothing is broadcast below zero
     got = suffix_dedup.remove_repeats(docs, keep=["doc_id"], window=400, group_limit=limit).collect()
     assert Counter(map(tuple, got)) == removed_by_force(texts, 400)
     assert suffix_dedup.remove_repeats(empty(docs), keep=["doc_id"]).count() == 0
@@ -166,7 +167,9 @@ def test_trees_find_every_link(shards):
     assert same([find(i) for i in range(len(x))]) == same(want)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("sent", [32 << 20, -1])
+def test_near_duplicates(spark, sent, monkeypatch):
+    monkeypatch.setattr(simhash, "_SENT", sent)
     rng = random.Random(5)
     base = [prose(s, 220) for s in range(6)]
 
@@ -433,7 +436,9 @@ def site(i, wording="Read more on our site today", lead="p"):
     return f"<body><div class=bar><p>Short {i}</p></div><div class=wrap><div class=text><h2>Title {i}</h2><{lead}>Page number {i} tells a story that no other page of the site tells.</{lead}><p>{wording}</p></div></div><div class=end><p>Words {i} at the end</p></div></body>"
 
 
-def test_template_decides_regions_and_wording(spark):
+@pytest.mark.parametrize("sent", [32 << 20, -1])
+def test_template_decides_regions_and_wording(spark, sent, monkeypatch):
+    monkeypatch.setattr(html_extract, "_SENT", sent)
     rows = [(i, f"http://a.test/{i}", site(i)) for i in range(6)]
     text = "Title {0}\nPage number {0} tells a story that no other page of the site tells."
     got = {i: t for i, t, _ in extracted(spark, rows)}
