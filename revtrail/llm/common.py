@@ -5,16 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
-import re
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revtrail.sources.checkpoints import checkpoint
 from revtrail.sources.landed import spread
 
+__all__ = ["checkpoint"]
+
 #: ASCII letters A-Z to a-z, all else unchanged (a 256-entry byte rule, not a word list).
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -24,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; lineage ends there.  Only a local master may do
-    without ``spark.checkpoint.dir``: elsewhere a folder of one machine would be lost with it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="revtrail-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
