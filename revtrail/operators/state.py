@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,6 @@ def snapshots_to_store(status: DataFrame) -> DataFrame:
     return status.where(F.col("status") != "unchanged")
 
 
-def _newest(value: Column, at: Column, when: Column) -> Column:
-    return F.max_by(F.when(when, value), F.when(when, at))
-
-
 def document_clocks(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
     """documents after a run's outcomes (document_id, status, detail, at): a check moves the clock and clears
     the error, an error moves both, a skip moves nothing."""
