@@ -19,9 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.  The smallest id
-    stays; of repeated rows one; null, empty and wordless texts are one group; rows of a group without any id all
-    stay.  No documents: none."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.  Fingerprints are
+    linked by vantage-point trees, pairs further apart than their bound are added by rare shingles, and whole sets
+    decide.  The smallest id stays; of repeated rows one; null, empty and wordless texts are one group; rows of a group
+    without any id all stay.  No documents: none."""
     from revtrail.llm.simhash import drop_near_duplicates
 
     return drop_near_duplicates(docs).select(*COLUMNS)

@@ -185,8 +185,8 @@ def link(x: np.ndarray, n_home: int, r: int, leaf: int = 256) -> np.ndarray:
     return roots(np.arange(len(x)))
 
 
-def link_fingerprints(distinct: DataFrame, links: int = 4, *, per_shard: int = 131072, sample: int = 8192) -> DataFrame:
-    """(node, component) of the distinct fingerprints (column fp) that have a link; component: smallest fp."""
+def fingerprint_links(distinct: DataFrame, links: int = 4, *, per_shard: int = 131072, sample: int = 8192) -> DataFrame:
+    """(a, b): spanning forests, one a shard, of the links between the distinct fingerprints (column fp)."""
     spark = distinct.sparkSession
     total = distinct.count()
     shards = 1 << (blocks_for(total, per_shard) - 1).bit_length()
@@ -210,7 +210,12 @@ def link_fingerprints(distinct: DataFrame, links: int = 4, *, per_shard: int = 1
         return pa.table({"a": x[has].view(np.int64), "b": x[at[has]].view(np.int64)})
 
     spread = distinct.select("fp").mapInArrow(tidy(dealt), "shard int, fp long, home boolean").repartition(4 * count, "shard")
-    return components(spread.groupBy("shard").applyInArrow(linked, "a long, b long"))
+    return spread.groupBy("shard").applyInArrow(linked, "a long, b long")
+
+
+def link_fingerprints(distinct: DataFrame, links: int = 4, *, per_shard: int = 131072, sample: int = 8192) -> DataFrame:
+    """(node, component) of the distinct fingerprints (column fp) that have a link; component: smallest fp."""
+    return components(fingerprint_links(distinct, links, per_shard=per_shard, sample=sample))
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, links: int = 4) -> DataFrame:
@@ -233,15 +238,21 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 # ---- near-duplicates by a similarity threshold ------------------------------------------------------------
 #
-# At a similarity of 0.8 unrelated and similar texts differ in too many bits for Hamming vantage points: with
-# 128 bits a similar pair differs in up to 32 or so, and the distances of unrelated texts to any vantage spread
-# by only 5.7 around 64, so the boundary band is everything.  Candidates come by rare shingles instead: of the
-# _SAMPLE smallest hashes of a text those that no other text has among its own come first, then the rarest;
-# sets that are similar must share one of the first few.  A text of which more than that few are its own goes no
-# further, however many passages it shares.  Texts that share one are chained into clusters, and within a
-# cluster the fingerprints choose the pairs whose whole sets are compared.
+# The fingerprints of all distinct texts go through the vantage-point trees above, with their boundary visitors:
+# every pair within _LINKS bits is linked, whatever its texts share.
+#
+# Not every pair of a similarity of 0.8 is that close: it differs in some 10 of 64 bits, and in up to 32 or so of
+# 128.  At that radius the boundary band is everything, as the distances of unrelated texts to any vantage spread by
+# only 5.7 around 64 of 128.  Pairs beyond _LINKS bits are added by rare shingles: of the _SAMPLE smallest hashes of a
+# text those that no other text has among its own come first, then the rarest; sets that are similar must share one
+# of the first few.  A text of which more than that few are its own adds nothing, however many passages it shares.
+#
+# Links of both kinds chain texts into clusters, and within a cluster the fingerprints choose the pairs whose whole
+# sets are compared: the similarity alone decides.
 
 _SKETCH = 128
+#: Bits in which fingerprints linked by the trees differ at most.
+_LINKS = 4
 #: Smallest hashes of a text that candidates are found by, and how many of them, by rarity, are looked up: of 24
 #: two sets of similarity 0.8 share 19.2 +- 2, and fewer than 12 less than twice in ten thousand times.  Sets of no
 #: more than _SAMPLE have all of theirs, and as many are looked up as similar sets cannot all miss.
@@ -373,8 +384,21 @@ def link_similar(n: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], left: np
     return out
 
 
+def _near_prints(texts: DataFrame) -> DataFrame:
+    """(a, b): edges that connect texts with words whose fingerprints chain by at most _LINKS bits.  texts: key, n, fp."""
+    worded = texts.where("n > 0").select("key", "fp")
+    first = checkpoint(worded.groupBy("fp").agg(F.min("key").alias("first")))
+    equal = worded.join(first, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    linked = fingerprint_links(first, _LINKS)
+    for end in ("a", "b"):
+        name = first.select(F.col("fp").alias("_fp"), F.col("first").alias(f"_{end}"))
+        linked = linked.join(name, F.col(end) == F.col("_fp")).drop("_fp")
+    return equal.unionByName(linked.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def _clusters(texts: DataFrame, similarity: float) -> DataFrame:
-    """(key, cluster) of texts that share a looked-up hash with others.  texts: key, n, low (smallest hashes)."""
+    """(key, cluster) of texts that have a near fingerprint or share a looked-up hash with others.  texts: key, n, fp,
+    low (smallest hashes)."""
     each = texts.select("key", "n", F.explode("low").alias("h"))
     counts = checkpoint(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     shared = counts.count()
@@ -386,7 +410,7 @@ def _clusters(texts: DataFrame, similarity: float) -> DataFrame:
     rows = checkpoint(common.where(left > 0).select("key", F.explode(F.slice("common", 1, left)).alias("x")).select("key", F.col("x.h").alias("h")))
     first = checkpoint(rows.groupBy("h").agg(F.min("key").alias("first")).withColumnRenamed("h", "_h"))
     edges = rows.join(first, F.col("h") == F.col("_h")).select(F.col("key").alias("a"), F.col("first").alias("b"))
-    return components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    return components(_near_prints(texts).unionByName(edges)).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
 
 
 #: Bytes of narrow rows up to which they are sent to all executors, so that texts need not move.
@@ -455,8 +479,8 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """(text_key, keeper): per distinct text (MD5; null reads as empty) the smallest id of its group, where
     texts chain by a Jaccard similarity of their word shingles of at least ``similarity``.
 
-    Every link is decided on whole sets of shingle hashes.  What is not exact is which pairs get there: see
-    _LOOKED_UP, and by the binomial a pair of 0.8 differs in more than ``bits`` of 128 fingerprint bits less than
+    Every link is decided on whole sets of shingle hashes.  Pairs within _LINKS bits of fingerprint all get there,
+    by vantage-point trees.  What is not exact is which of the others do: see _LOOKED_UP, and by the binomial a pair of 0.8 differs in more than ``bits`` of 128 fingerprint bits less than
     once in a hundred thousand times.  Wordless texts are one group.  Ids that are null never keep.  Empty input:
     no rows.
     """
@@ -467,17 +491,18 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows = []
             for ident, text_key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                low = None
+                known = (None, None, None)
                 if text_key not in seen:
                     seen.add(text_key)
                     low = np.unique(shingle_hashes(text, shingle))
-                rows.append((ident, text_key, None if low is None else len(low), None if low is None else low[:_SAMPLE].view(np.int64).tolist()))
-            kinds = (batch.column(0).type, pa.string(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "key", "n", "low"])
+                    known = (len(low), int(np.uint64(fingerprint(low)).view(np.int64)), low[:_SAMPLE].view(np.int64).tolist())
+                rows.append((ident, text_key, *known))
+            kinds = (batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "key", "n", "fp", "low"])
 
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
-    each = keyed.mapInArrow(tidy(profiled), f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, low array<long>")
-    texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "low")).alias("p")).select("key", "least", "p.*"))
+    each = keyed.mapInArrow(tidy(profiled), f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, fp long, low array<long>")
+    texts = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("n", "fp", "low")).alias("p")).select("key", "least", "p.*"))
     clusters = checkpoint(_clusters(texts, similarity))
     members = checkpoint(clusters.withColumnRenamed("key", "_k").join(texts.select("key", "n"), F.col("_k") == F.col("key")).select("key", "n", "cluster"))
     places = _places(members, similarity, block)

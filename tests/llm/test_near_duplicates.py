@@ -39,3 +39,23 @@ def test_near_duplicates_are_decided_on_whole_sets(spark):
     got = simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), block=200)
     keeper = {r["text_key"]: r["keeper"] for r in got.collect()}
     assert [keeper[hashlib.md5(t.encode()).hexdigest()] for t in texts] == [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_by_fingerprints_alone(spark):
+    """Copies of a long text that lack most of its smallest shingle hashes: of those a search by samples sees too few."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+        hashes = simhash.shingle_hashes(" ".join(words), 5)
+        edited = list(words)
+        for at in hashes.argsort()[:16]:
+            edited[at + 2] = f"n{rng.randrange(10**9)}"
+        pair = [" ".join(words), " ".join(edited)]
+        a, b = (simhash.shingle_hashes(t, 5) for t in pair)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4:
+            assert len(set(a.tolist()) & set(b.tolist())) >= 0.95 * len(set(a.tolist()) | set(b.tolist()))
+            texts += pair
+    assert len(texts) >= 4
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, len(texts), 2))
