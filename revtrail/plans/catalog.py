@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revtrail import schemas
 from revtrail.functions import formatting as fmt
 from revtrail.functions import text as X
+from revtrail.functions import whole
 from revtrail.operators import classify, policy, state
 from revtrail.plans import crawl, derived, views
 from revtrail.plans.registry import ORACLES, QUERIES, TRIM, WS, B, base, query, revisions, sql_words
@@ -39,7 +40,7 @@ def word_count(spark, d):
 
 @query(f"SELECT document_id, rev, sha256({_sql_punctuation('extracted_text')}) AS normal_hash FROM revisions")
 def punct_normalize(spark, d):
-    return revisions(spark, d).select("document_id", "rev", X.content_hash(X.punctuation_normalize(F.col("extracted_text"))).alias("normal_hash"))
+    return revisions(spark, d).select("document_id", "rev", X.content_hash(whole.punctuation_normalize(F.col("extracted_text"))).alias("normal_hash"))
 
 
 _FORMS = ["2025-06-07", "7/6/2025", "June 7, 2025", "7 June 2025", "JUNE 2025", "7th jun. 2025", "7.6.25", "v1.7.6.25x", "May 2025 and Sept. 3rd 2024"]
