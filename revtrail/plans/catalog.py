@@ -53,7 +53,7 @@ for _pattern in X.DATE_PATTERNS:
 @query(f"SELECT document_id, rev, sha256({_DATED}) AS dated_hash FROM revisions")
 def date_normalize(spark, d):
     dated = F.expr(f"concat(extracted_text, ' Dated ', {_FORM}, '.')")
-    return revisions(spark, d).select("document_id", "rev", X.content_hash(X.date_normalize(dated)).alias("dated_hash"))
+    return revisions(spark, d).select("document_id", "rev", X.content_hash(whole.date_normalize(dated)).alias("dated_hash"))
 
 
 @query(f"SELECT document_id, rev, array_to_string(list_sort(list_filter(list_transform({sql_words('extracted_text')}, lambda x: {_NEG}), lambda y: y IS NOT NULL)), ',') AS negations FROM revisions")
