@@ -58,7 +58,7 @@ def date_normalize(spark, d):
 
 @query(f"SELECT document_id, rev, array_to_string(list_sort(list_filter(list_transform({sql_words('extracted_text')}, lambda x: {_NEG}), lambda y: y IS NOT NULL)), ',') AS negations FROM revisions")
 def negation_counts(spark, d):
-    return revisions(spark, d).select("document_id", "rev", F.array_join(X.negations(F.col("extracted_text")), ",").alias("negations"))
+    return revisions(spark, d).select("document_id", "rev", F.array_join(whole.negations(F.col("extracted_text")), ",").alias("negations"))
 
 
 _SCORES = ", ".join(f"CAST({' + '.join('CAST(regexp_matches(text, %r) AS INTEGER)' % ('(?i)' + (B if p.startswith(chr(92) + 'b') else '') + p.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b') + ('([^A-Za-z0-9_]|$)' if p.endswith(chr(92) + 'b') else '')) for p in patterns)} AS INTEGER) AS \"{tag}\"" for tag, _, patterns in classify.TAG_RULES).replace("\\\\", "\\")
